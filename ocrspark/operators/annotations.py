@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ocrspark import pins
 from ocrspark.operators.positions import prefix_sums, rank_in
+from ocrspark.session import stack
 
 
 def _grouped(annots: DataFrame) -> DataFrame:
@@ -37,7 +38,7 @@ def annot_nav(index: DataFrame, places: DataFrame) -> DataFrame:
     """
     here = places.select(*pins.PAGE_KEY).distinct().withColumn("n", F.lit(0).cast("long"))
     on_page = index.groupBy(*pins.PAGE_KEY).agg(F.count("*").alias("n"))
-    counts = here.unionByName(on_page).groupBy(*pins.PAGE_KEY).agg(F.sum("n").alias("n"))
+    counts = stack(here, on_page).groupBy(*pins.PAGE_KEY).agg(F.sum("n").alias("n"))
     before = prefix_sums(counts, ["doc_id"], ["page_no"], "n")
     totals = index.groupBy("doc_id").agg(F.count("*").alias("total"))
     own = index.select("doc_id", "group_id", F.col("idx").alias("own"))

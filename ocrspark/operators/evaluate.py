@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ocrspark import pins
 from ocrspark.functions.text import norm
 from ocrspark.operators.spatial import overlap_join
+from ocrspark.session import stack
 
 PAGE = list(pins.PAGE_KEY)
 SIDE = ("line_no", "word_no", "word_id", "text", "conf")
@@ -77,7 +78,7 @@ def word_status(
         *pins.WORD_KEY, none.alias("gt_text"), F.col("text").alias("ocr_text"), "conf",
         F.lit("extra").alias("status"),
     )
-    return matched.unionByName(missed).unionByName(extra)
+    return stack(matched, missed, extra)
 
 
 STATS = ("total", "correct", "incorrect", "missed", "extra", "correct_low_conf", "incorrect_high_conf")
@@ -121,7 +122,7 @@ def eval_versions(
         other = [c for c in hits.columns if c not in (*PAGE, name)]
         return words.groupBy(*PAGE).agg(F.count("*").alias(name), *[zero.alias(c) for c in other])
 
-    rows = hits.unionByName(counted(gt, "total")).unionByName(counted(ocr, "found"))
+    rows = stack(hits, counted(gt, "total"), counted(ocr, "found"))
     sums = rows.groupBy(*PAGE).agg(*[F.sum(c).alias(c) for c in hits.columns if c not in PAGE])
     paired = F.col("correct") + F.col("incorrect")
     return (
@@ -170,7 +171,7 @@ def combine(a: DataFrame, b: DataFrame, mode: str = "data") -> DataFrame:
     if mode == "conf":
         agree = F.col("g_text") == F.col("o_text")
         conf = F.when(agree, F.greatest("g_conf", "o_conf")).otherwise(F.least("g_conf", "o_conf"))
-        return pairs.select(*picked("g_", conf, "a")).unionByName(only_a)
+        return stack(pairs.select(*picked("g_", conf, "a")), only_a)
     if mode != "data":
         raise ValueError(f"unknown combine mode: {mode!r}")
     better_b = F.col("o_conf") > F.col("g_conf")
@@ -181,7 +182,7 @@ def combine(a: DataFrame, b: DataFrame, mode: str = "data") -> DataFrame:
     ]
     source = F.when(better_b, "b").otherwise("a").alias("source")
     only_b = _rest(b, pairs, "o_").select(*WORD_COLS, F.lit("b").alias("source"))
-    return pairs.select(*PAGE, *best, source).unionByName(only_a).unionByName(only_b)
+    return stack(pairs.select(*PAGE, *best, source), only_a, only_b)
 
 
 def conflicts(

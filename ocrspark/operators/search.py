@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ocrspark import pins
 from ocrspark.operators.positions import BLOCK_BITS, prefix_sums
+from ocrspark.session import stack
 
 PAGE = list(pins.PAGE_KEY)
 LINE = list(pins.LINE_KEY)
@@ -54,7 +55,7 @@ def find_text(words: DataFrame, query: str) -> DataFrame:
     if not terms:
         return pages.filter(F.lit(False))
     found = _phrase_starts(words, terms).groupBy(*PAGE).agg(F.count("*").alias("n"))
-    return pages.unionByName(found).groupBy(*PAGE).agg(F.sum("n").alias("n"))
+    return stack(pages, found).groupBy(*PAGE).agg(F.sum("n").alias("n"))
 
 
 def find_total(counts: DataFrame) -> DataFrame:

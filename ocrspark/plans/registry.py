@@ -13,7 +13,7 @@ from ocrspark.operators import (
 )
 from ocrspark.plans import derived as d
 from ocrspark.plans.oracle import query
-from ocrspark.session import scratch_dir
+from ocrspark.session import scratch_dir, stack
 from ocrspark.sources import hocr, tables
 from ocrspark.streaming import edits as edit_stream, ingest, progress
 
@@ -613,7 +613,7 @@ def _(s, p):
     for kind, rows, key in (("line", words, "line_no"), ("par", words, "par_no"), ("group", grouped, "group_id")):
         boxes = selection.union_boxes(rows, [*pins.PAGE_KEY, key])
         boxes = boxes.select(F.lit(kind).alias("kind"), *pins.PAGE_KEY, F.col(key).cast("string").alias("id"), *pins.BOX)
-        out = boxes if out is None else out.unionByName(boxes)
+        out = boxes if out is None else stack(out, boxes)
     return out
 
 
@@ -636,7 +636,7 @@ def _named_versions(s, p) -> DataFrame:
         (ocr.filter("doc_id % 2 = 0"), pins.INTERNAL_VERSIONS[0]),
         (ocr.filter("doc_id % 5 = 0"), pins.ACTIVE),
     ):
-        rows = rows.unionByName(_version(words, label).select(*key))
+        rows = stack(rows, _version(words, label).select(*key))
     return rows.filter("version <> 'Engine B' or doc_id % 3 <> 0")
 
 
@@ -748,7 +748,7 @@ register("w1_annot_index", "select doc_id, group_id, page_no, top, idx from idx"
 def _(s, p):
     index = _index(s, p)
     places = d.pages(d.docs(s, p)).select(*pins.PAGE_KEY, F.lit(None).cast("string").alias("group_id"))
-    return annotations.annot_nav(index, places.unionByName(index.select(*pins.PAGE_KEY, "group_id")))
+    return annotations.annot_nav(index, stack(places, index.select(*pins.PAGE_KEY, "group_id")))
 
 
 def _counts(s, p) -> DataFrame:
@@ -853,7 +853,7 @@ def _(s, p):
 def _(s, p):
     cols = [*pins.WORD_KEY, "text"]
     old = _version(d.gt_words(s, p).select(*cols), pins.GROUND_TRUTH)
-    both = old.unionByName(_version(d.ocr_words(s, p).select(*cols), "Engine B"))
+    both = stack(old, _version(d.ocr_words(s, p).select(*cols), "Engine B"))
     return versions.make_ground_truth(both, "Engine B")
 
 

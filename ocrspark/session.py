@@ -50,3 +50,18 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores * 2, key) if size < cores * split else df
+
+
+def stack(first: DataFrame, *rest: DataFrame, missing: bool = False) -> DataFrame:
+    """Union by name.
+
+    Spark 4.1 may take a union of equally partitioned inputs for partitioned itself and
+    leave out the shuffle before a following aggregate or window. With adaptive plans the
+    rows of one key then still sit in several partitions (seen in 4.1.2: a window split in
+    two), so that shortcut is turned off for the session.
+    """
+    first.sparkSession.conf.set("spark.sql.unionOutputPartitioning", "false")
+    out = first
+    for other in rest:
+        out = out.unionByName(other, allowMissingColumns=missing)
+    return out

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import math
 import sys
+import tempfile
 import time
 import traceback
 from pathlib import Path
@@ -29,46 +29,37 @@ def oracle(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
-def _plain(v):
-    if isinstance(v, float):
-        return "nan" if math.isnan(v) else repr(v)
-    return "" if v is None else f"{type(v).__name__}:{v}"
-
-
-def rows_of(df):
-    names = sorted(df.columns)
-    return sorted(tuple(_plain(r[n]) for n in names) for r in df.select(*names).collect())
-
-
-def compare(spark, con, name: str, sf_dir: str) -> str | None:
-    """None if both sides agree, else what differs."""
+def compare(spark, con, name: str, sf_dir: str) -> tuple[float, str | None]:
+    """Seconds of the Spark run, and None if both sides agree, else what differs."""
+    out = tempfile.mkdtemp(prefix="run-") + "/out"
+    start = time.time()
     df = entry.queries()[name](spark, sf_dir)
-    got = rows_of(df)
-    rel = con.sql(entry.oracle_sql()[name])
-    names = sorted(rel.columns)
-    if names != sorted(df.columns):
-        return f"columns {sorted(df.columns)} != {names}"
-    want_types = dict(zip(rel.columns, map(str, rel.types)))
+    df.write.parquet(out)
+    took = time.time() - start
+    con.execute(f"create or replace temp table want as {entry.oracle_sql()[name]}")
+    con.execute(f"create or replace temp view got as select * from '{out}/*.parquet'")
+    want_types = {r[0]: r[1] for r in con.sql("describe want").fetchall()}
     types = {c: SPARK_TO_DUCK.get(t, t) for c, t in df.dtypes}
-    order = [rel.columns.index(n) for n in names]
-    want = sorted(tuple(_plain(r[i]) for i in order) for r in rel.fetchall())
-    if len(got) != len(want):
-        return f"{len(got)} rows != {len(want)}"
-    bad = [(g, w) for g, w in zip(got, want) if g != w]
-    if bad:
-        return f"{len(bad)} of {len(got)} rows differ, {names}: spark {bad[0][0]} sql {bad[0][1]}"
-    if not got:
-        return "no rows"
     if types != want_types:
-        return f"types {types} != {want_types}"
-    return None
-
-
-def session():
+        return took, f"types {types} != {want_types}"
+    cols = ", ".join(f'"{c}"' for c in want_types)
+    n_got, n_want = (con.sql(f"select count(*) from {t}").fetchall()[0][0] for t in ("got", "want"))
+    if n_got != n_want:
+        return took, f"{n_got} rows != {n_want}"
+    if not n_got:
+        return took, "no rows"
+    more = con.sql(f"select {cols} from got except all select {cols} from want").fetchall()
+    if more:
+        less = con.sql(f"select {cols} from want except all select {cols} from got limit 1").fetchall()
+        return took, f"{len(more)} of {n_got} rows differ, {cols}: spark {more[0]} sql {less[0]}"
+    return took, None
+
+
+def session(cores: int = 8):
     return get_spark(
-        "check", "local[8]",
+        "check", f"local[{cores}]",
         **{
-            "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g",
+            "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "12g",
             "spark.ui.showConsoleProgress": "false",
         },
     )
@@ -79,11 +70,11 @@ if __name__ == "__main__":
     spark, con = session(), oracle(sf)
     spark.sparkContext.setLogLevel("ERROR")
     for q in wanted or entry.queries():
-        start = time.time()
+        start, took = time.time(), 0.0
         try:
-            note = compare(spark, con, q, sf) if q in entry.oracle_sql() else "no SQL twin"
+            took, note = compare(spark, con, q, sf)
         except Exception as err:  # report and go on with the next query
             note = "ERROR " + str(err)[:600]
             if len(wanted) == 1:
                 traceback.print_exc()
-        print(f"{q:24s} {time.time() - start:6.1f}s  {note or 'ok'}", flush=True)
+        print(f"{q:24s} spark {took:6.1f}s  all {time.time() - start:6.1f}s  {note or 'ok'}", flush=True)
