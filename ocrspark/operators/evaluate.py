@@ -10,28 +10,34 @@ from ocrspark.operators.spatial import overlap_join
 from ocrspark.session import stack
 
 PAGE = list(pins.PAGE_KEY)
-SIDE = ("line_no", "word_no", "word_id", "text", "conf")
+ADDRESS = ("line_no", "word_no")
+SIDE = (*ADDRESS, "word_id", "text", "conf")
 
 
-def _side(words: DataFrame, p: str) -> DataFrame:
+def _side(words: DataFrame, p: str, keep: tuple[str, ...] = SIDE) -> DataFrame:
     """One word per page and box, columns prefixed.
 
     Partners are ranked by overlap, then by address. Of several words in the very same
     box only the first can be anyone's best partner, so the others cannot be paired and
     need not enter the join: a stack of copies costs one row instead of all its pairs.
     """
-    first = F.min(F.struct(*SIDE)).alias("w")
+    first = F.min(F.struct(*keep)).alias("w")
     box = [F.col(s).alias(f"{p}{s}") for s in pins.BOX]
     return (
         words.groupBy(*PAGE, *pins.BOX)
         .agg(first)
-        .select(*PAGE, *box, *[F.col(f"w.{s}").alias(f"{p}{s}") for s in SIDE])
+        .select(*PAGE, *box, *[F.col(f"w.{s}").alias(f"{p}{s}") for s in keep])
     )
 
 
-def align(gt: DataFrame, ocr: DataFrame, boxes: bool = False) -> DataFrame:
-    """One-to-one pairs of words on the same page: each is the best partner of the other."""
-    pairs = overlap_join(_side(ocr, "o_"), _side(gt, "g_"), "o_", "g_")
+def align(
+    gt: DataFrame, ocr: DataFrame, keep: tuple[str, ...] = SIDE, boxes: bool = False
+) -> DataFrame:
+    """One-to-one pairs of words on the same page: each is the best partner of the other.
+
+    ``keep`` starts with the address of a word; fewer columns make smaller shuffles.
+    """
+    pairs = overlap_join(_side(ocr, "o_", keep), _side(gt, "g_", keep), "o_", "g_")
     best = [F.col("overlap").desc()]
     per_gt = W.partitionBy(*PAGE, "g_line_no", "g_word_no").orderBy(*best, "o_line_no", "o_word_no")
     per_ocr = W.partitionBy(*PAGE, "o_line_no", "o_word_no").orderBy(*best, "g_line_no", "g_word_no")
@@ -110,7 +116,7 @@ def eval_versions(
     same = _same(ignore_punct, ignore_cap)
     high = F.col("o_conf") > conf_high
     zero = F.lit(0).cast("long")
-    hits = align(gt, ocr).groupBy(*PAGE).agg(
+    hits = align(gt, ocr, (*ADDRESS, "text", "conf")).groupBy(*PAGE).agg(
         zero.alias("total"), zero.alias("found"),
         F.count_if(same).alias("correct"),
         F.count_if(~same).alias("incorrect"),
