@@ -17,19 +17,15 @@ from ocrspark import pins
 from ocrspark.functions.geometry import overlap
 
 # Cell of level 0 is 256 x 64 pixels, about one word; each level is eight times coarser.
-X_BITS, Y_BITS, LEVEL_BITS, LEVELS = 8, 6, 3, 9
+X_BITS, Y_BITS, LEVEL_BITS = 8, 6, 3
 
 
 def _level(prefix: str) -> Column:
-    """Lowest level whose cell is at least as large as the box."""
-    width = F.col(f"{prefix}r").cast("long") - F.col(f"{prefix}l")
-    height = F.col(f"{prefix}b").cast("long") - F.col(f"{prefix}t")
-    level = F.lit(0)
-    for k in range(LEVELS):
-        wide = width > (1 << X_BITS + LEVEL_BITS * k)
-        high = height > (1 << Y_BITS + LEVEL_BITS * k)
-        level = level + (wide | high).cast("int")
-    return level
+    """Level whose cell is about as large as the box. Any level gives the same pairs."""
+    width = F.col(f"{prefix}r").cast("double") - F.col(f"{prefix}l")
+    height = F.col(f"{prefix}b").cast("double") - F.col(f"{prefix}t")
+    size = F.greatest(width / F.lit(1 << X_BITS), height / F.lit(1 << Y_BITS), F.lit(1.0))
+    return F.ceil(F.log2(size) / F.lit(LEVEL_BITS)).cast("int")
 
 
 def _cell(coord: Column, bits: int, extra: int = 0) -> Column:

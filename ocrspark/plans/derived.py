@@ -11,22 +11,21 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ocrspark import pins
 from ocrspark.operators.selection import union_boxes
-from ocrspark.session import spread
+from ocrspark.session import spread, tune
 
 E = F.expr
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return tune(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return spread(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", "text", "lang", "source")
 
 
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spread(documents(spark, sf_dir).select("doc_id", "text", "lang"), "doc_id")
-    lines = docs.select("doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("par", "line"))
+    lines = documents(spark, sf_dir).select("doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("par", "line"))
     toks = lines.select("doc_id", "lang", "par", F.posexplode(F.split("line", " ")).alias("tok", "text"))
     return toks.filter("text <> ''").withColumns(
         {"len": F.length("text"), "h": E("cast((doc_id * 7 + par * 13 + tok * 29) % 100 as int)")}
@@ -243,18 +242,18 @@ def new_words(words: DataFrame) -> DataFrame:
 
 
 def with_chars(words: DataFrame) -> DataFrame:
-    """Words with an array of character boxes that share the width of the word evenly."""
-    n = F.length("text")
-    char = lambda i: F.struct(
-        F.substring("text", i, F.lit(1)).alias("ch"),
-        (F.col("l") + F.floor((i - 1) * (F.col("r") - F.col("l")) / n)).cast("int").alias("l"),
-        F.col("t").alias("t"),
-        (F.col("l") + F.floor(i * (F.col("r") - F.col("l")) / n)).cast("int").alias("r"),
-        (F.col("b") - i % 3).cast("int").alias("b"),
-    )
+    """Words with an array of character boxes: even steps, glyphs up to two pixels narrower."""
     style = E("case when bold then 'bold' when italic then 'italic' else 'normal' end")
-    return words.select(
+    arrays = {
+        "ch": E("split(text, '')"),
+        "l": E("sequence(l, l + (n - 1) * step, step)"),
+        "t": E("array_repeat(t, n)"),
+        "r": E("sequence(l + step - n % 3, l + step - n % 3 + (n - 1) * step, step)"),
+        "b": E("array_repeat(b - n % 5, n)"),
+    }
+    sized = words.withColumn("n", F.length("text")).withColumn("step", E("greatest((r - l) div n, 4)").cast("int"))
+    return sized.select(
         *pins.WORD_KEY, "font", style.alias("style"),
         E("cast(10 + par_no % 3 as int)").alias("x_height"),
-        F.transform(F.sequence(F.lit(1), n), char).alias("chars"),
-    )
+        *[array.alias(name) for name, array in arrays.items()],
+    ).select(*pins.WORD_KEY, "font", "style", "x_height", F.arrays_zip(*arrays).alias("chars"))

@@ -126,8 +126,9 @@ TABLES = {
       row_number() over (partition by doc_id order by page_no, top, annot_no) as idx from ag""",
     "found": """select doc_id, page_no, count(*) filter (contains(lower(text), 'en')) as n from gt group by all""",
     "ch": """select doc_id, page_no, line_no, word_no, font, style, x_height, i, substring(text, i, 1) as ch,
-      (l + floor((i - 1) * (r - l) / n))::int as l, t, (l + floor(i * (r - l) / n))::int as r, (b - i % 3)::int as b
+      l + (i - 1) * step as l, t, l + (i - 1) * step + step - n % 3 as r, b - n % 5 as b
       from (select *, length(text) as n, (10 + par_no % 3)::int as x_height,
+        greatest((r - l) // length(text), 4)::int as step,
         case when bold then 'bold' when italic then 'italic' else 'normal' end as style,
         unnest(range(1, length(text) + 1)) as i from gt)""",
     "pars": """select doc_id, page_no, par_no, replace(replace(

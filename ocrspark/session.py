@@ -21,7 +21,23 @@ def get_spark(app: str = "ocrspark", master: str | None = None, **conf: str) ->
     }
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return tune(builder.getOrCreate())
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    """Settings every query of the engine needs, whoever made the session.
+
+    - Spark 4.1 may take a union of equally partitioned inputs for partitioned itself and
+      leave out the shuffle before a following aggregate or window. With adaptive plans
+      the rows of one key then still sit in several partitions (seen in 4.1.2: a window
+      split in two), so that shortcut is off.
+    - HotSpot does not compile methods above 8000 bytes of bytecode. A stage that explodes
+      twice and computes many columns exceeds that and would run interpreted; with the
+      limit known Spark runs such a stage operator by operator, each compiled.
+    """
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+    return spark
 
 
 def scratch_dir(spark: SparkSession, label: str) -> str:
@@ -53,14 +69,8 @@ def spread(df: DataFrame, key: str) -> DataFrame:
 
 
 def stack(first: DataFrame, *rest: DataFrame, missing: bool = False) -> DataFrame:
-    """Union by name.
-
-    Spark 4.1 may take a union of equally partitioned inputs for partitioned itself and
-    leave out the shuffle before a following aggregate or window. With adaptive plans the
-    rows of one key then still sit in several partitions (seen in 4.1.2: a window split in
-    two), so that shortcut is turned off for the session.
-    """
-    first.sparkSession.conf.set("spark.sql.unionOutputPartitioning", "false")
+    """Union by name, safe to aggregate afterwards (see :func:`tune`)."""
+    tune(first.sparkSession)
     out = first
     for other in rest:
         out = out.unionByName(other, allowMissingColumns=missing)
