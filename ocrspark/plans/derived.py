@@ -94,7 +94,7 @@ def lines(words: DataFrame) -> DataFrame:
         {
             "slope": E("((par_no * 7 + doc_id) % 11 - 5) * 0.001D"),
             "offset": E("cast(-(par_no % 4) as int)"),
-            "x_height": E("cast(10 + par_no % 3 as int)"),
+            "x_height": E("shiftleft(8, par_no % 3)"),
         }
     )
 
@@ -254,6 +254,6 @@ def with_chars(words: DataFrame) -> DataFrame:
     sized = words.withColumn("n", F.length("text")).withColumn("step", E("greatest((r - l) div n, 4)").cast("int"))
     return sized.select(
         *pins.WORD_KEY, "font", style.alias("style"),
-        E("cast(10 + par_no % 3 as int)").alias("x_height"),
+        E("shiftleft(8, par_no % 3)").alias("x_height"),
         *[array.alias(name) for name, array in arrays.items()],
     ).select(*pins.WORD_KEY, "font", "style", "x_height", F.arrays_zip(*arrays).alias("chars"))

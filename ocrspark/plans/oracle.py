@@ -30,7 +30,7 @@ TABLES = {
       from (select doc_id, unnest(range(page_count)) as page_no from docs)""",
     "lines": """select doc_id, page_no, line_no, par_no, min(l) as l, min(t) as t, max(r) as r, max(b) as b,
       ((par_no * 7 + doc_id) % 11 - 5) * 0.001e0 as slope, (-(par_no % 4))::int as "offset",
-      (10 + par_no % 3)::int as x_height from gt group by all""",
+      (8 << (par_no % 3))::int as x_height from gt group by all""",
     "rp": "select doc_id, page_no from pg where doc_id % 3 = 0",
     "regions": """select doc_id, page_no, 'x0' as region_id, 0 as region_seq, 'exclude' as kind, null::int as ord,
         0 as l, 0 as t, 600 as r, 36 as b from rp
@@ -127,7 +127,7 @@ TABLES = {
     "found": """select doc_id, page_no, count(*) filter (contains(lower(text), 'en')) as n from gt group by all""",
     "ch": """select doc_id, page_no, line_no, word_no, font, style, x_height, i, substring(text, i, 1) as ch,
       l + (i - 1) * step as l, t, l + (i - 1) * step + step - n % 3 as r, b - n % 5 as b
-      from (select *, length(text) as n, (10 + par_no % 3)::int as x_height,
+      from (select *, length(text) as n, (8 << (par_no % 3))::int as x_height,
         greatest((r - l) // length(text), 4)::int as step,
         case when bold then 'bold' when italic then 'italic' else 'normal' end as style,
         unnest(range(1, length(text) + 1)) as i from gt)""",

@@ -669,23 +669,22 @@ def _(s, p):
 
 @register(
     "f1_glyph_metrics",
-    """select font, style, ch, round(avg((r - l)::double / x_height), 6) as width,
-       round(avg((b - t)::double / x_height), 6) as height, count(*) as obs from ch where font is not null group by all""",
+    """select font, style, ch, avg((r - l)::double / x_height) as width,
+       avg((b - t)::double / x_height) as height, count(*) as obs from ch where font is not null group by all""",
 )
 def _(s, p):
-    glyphs = fonts.glyph_metrics(d.with_chars(d.gt_words(s, p)))
-    return glyphs.withColumns({c: F.round(c, 6) for c in ("width", "height")})
+    return fonts.glyph_metrics(d.with_chars(d.gt_words(s, p)))
 
 
 @register(
     "f2_kerning",
-    """select font, style, ch as first, nx as second, round(avg((nl - r)::double / x_height), 6) as gap, count(*) as obs
+    """select font, style, ch as first, nx as second, avg((nl - r)::double / x_height) as gap, count(*) as obs
        from (select *, lead(ch) over w as nx, lead(l) over w as nl from ch where font is not null
              window w as (partition by doc_id, page_no, line_no, word_no order by i))
        where nx is not null group by all""",
 )
 def _(s, p):
-    return fonts.kerning(d.with_chars(d.gt_words(s, p))).withColumn("gap", F.round("gap", 6))
+    return fonts.kerning(d.with_chars(d.gt_words(s, p)))
 
 
 @register(
