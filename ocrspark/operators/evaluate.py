@@ -58,36 +58,52 @@ def _same(punct: bool, cap: bool) -> Column:
     return norm(F.col("g_text"), punct, cap) == norm(F.col("o_text"), punct, cap)
 
 
-def _rest(words: DataFrame, pairs: DataFrame, p: str) -> DataFrame:
-    """Words without a partner."""
-    address = pairs.select(*PAGE, *[F.col(f"{p}{s}").alias(s) for s in ("line_no", "word_no")])
-    return words.join(address, list(pins.WORD_KEY), "left_anti")
+def _with_rest(pairs: DataFrame, matched: Column, sides: list[tuple[str, DataFrame, Column]]) -> DataFrame:
+    """A row ``matched`` per pair, and a row per word of ``sides`` that is in no pair.
+
+    ``sides`` holds prefix, words and the row (a struct) of a word. A pair yields its row
+    and a mark for both of its words; words and marks meet in one aggregate. So the
+    pairs are computed once, where an anti join per side would compute them again.
+    """
+
+    def entry(kind: str, p: str, row: Column) -> Column:
+        address = [F.col(f"{p}{s}").alias(s) for s in ADDRESS]
+        return F.struct(F.lit(kind).alias("kind"), *address, row.alias("row"))
+
+    row_type = pairs.select(matched.alias("row")).schema["row"].dataType
+    mark = F.lit(None).cast(row_type)
+    entries = [entry("pair", "g_", matched), *[entry(p, p, mark) for p, _, _ in sides]]
+    rows = pairs.select(*PAGE, F.explode(F.array(*entries)).alias("e")).select(*PAGE, "e.*")
+    lone = [
+        words.select(*PAGE, F.lit(p).alias("kind"), *ADDRESS, row.cast(row_type).alias("row"))
+        for p, words, row in sides
+    ]
+    used = F.count_if(F.col("row").isNull()).alias("used")
+    together = stack(rows, *lone).groupBy(*PAGE, "kind", *ADDRESS).agg(used, F.max("row").alias("row"))
+    return together.filter("used = 0").select(*PAGE, "row.*")
 
 
 def word_status(
     gt: DataFrame, ocr: DataFrame, ignore_punct: bool = True, ignore_cap: bool = True
 ) -> DataFrame:
     """Each ground-truth word as correct, incorrect or missed, and each extra word."""
-    pairs = align(gt, ocr)
-    matched = pairs.select(
-        *PAGE,
-        F.col("g_line_no").alias("line_no"),
-        F.col("g_word_no").alias("word_no"),
-        F.col("g_text").alias("gt_text"),
-        F.col("o_text").alias("ocr_text"),
-        F.col("o_conf").alias("conf"),
-        F.when(_same(ignore_punct, ignore_cap), "correct").otherwise("incorrect").alias("status"),
-    )
-    none = F.lit(None).cast("string")
-    missed = _rest(gt, pairs, "g_").select(
-        *pins.WORD_KEY, F.col("text").alias("gt_text"), none.alias("ocr_text"),
-        F.lit(None).cast("int").alias("conf"), F.lit("missed").alias("status"),
-    )
-    extra = _rest(ocr, pairs, "o_").select(
-        *pins.WORD_KEY, none.alias("gt_text"), F.col("text").alias("ocr_text"), "conf",
-        F.lit("extra").alias("status"),
+    none, no_conf = F.lit(None).cast("string"), F.lit(None).cast("int")
+
+    def row(p: str, gt_text: Column, ocr_text: Column, conf: Column, status: Column) -> Column:
+        values = {"gt_text": gt_text, "ocr_text": ocr_text, "conf": conf, "status": status}
+        address = [F.col(f"{p}{s}").alias(s) for s in ADDRESS]
+        return F.struct(*address, *[v.alias(n) for n, v in values.items()])
+
+    same = F.when(_same(ignore_punct, ignore_cap), "correct").otherwise("incorrect")
+    text, conf = F.col("text"), F.col("conf")
+    return _with_rest(
+        align(gt, ocr, (*ADDRESS, "text", "conf")),
+        row("g_", F.col("g_text"), F.col("o_text"), F.col("o_conf"), same),
+        [
+            ("g_", gt, row("", text, none, no_conf, F.lit("missed"))),
+            ("o_", ocr, row("", none, text, conf, F.lit("extra"))),
+        ],
     )
-    return stack(matched, missed, extra)
 
 
 STATS = ("total", "correct", "incorrect", "missed", "extra", "correct_low_conf", "incorrect_high_conf")
@@ -157,7 +173,7 @@ def wer(stats: DataFrame, ignore_extra: bool = False) -> DataFrame:
     return stats.withColumn("wer", rate).withColumn("wer_display", F.round("wer", 2))
 
 
-WORD_COLS = (*PAGE, "line_no", "word_no", "word_id", "text", "conf", *pins.BOX)
+WORD_COLS = (*ADDRESS, "word_id", "text", "conf", *pins.BOX)
 
 
 def combine(a: DataFrame, b: DataFrame, mode: str = "data") -> DataFrame:
@@ -167,31 +183,27 @@ def combine(a: DataFrame, b: DataFrame, mode: str = "data") -> DataFrame:
     without a partner. ``conf``: the words of ``a``, with the greater confidence where
     both texts agree and the lesser one where they differ.
     """
-    pairs = align(a, b, boxes=True)
 
-    def picked(p: str, conf: Column, source: str) -> list[Column]:
-        names = [c for c in WORD_COLS if c not in (*PAGE, "conf")]
-        return [
-            *PAGE, *[F.col(f"{p}{c}").alias(c) for c in names],
-            conf.alias("conf"), F.lit(source).alias("source"),
-        ]
+    def row(source: Column, value) -> Column:
+        return F.struct(*[value(c).alias(c) for c in WORD_COLS], source.alias("source"))
+
+    def lone(p: str, words: DataFrame, source: str) -> tuple[str, DataFrame, Column]:
+        return p, words, row(F.lit(source), F.col)
 
-    only_a = _rest(a, pairs, "g_").select(*WORD_COLS, F.lit("a").alias("source"))
+    pairs = align(a, b, boxes=True)
     if mode == "conf":
         agree = F.col("g_text") == F.col("o_text")
         conf = F.when(agree, F.greatest("g_conf", "o_conf")).otherwise(F.least("g_conf", "o_conf"))
-        return stack(pairs.select(*picked("g_", conf, "a")), only_a)
+        matched = row(F.lit("a"), lambda c: conf if c == "conf" else F.col(f"g_{c}"))
+        return _with_rest(pairs, matched, [lone("g_", a, "a")])
     if mode != "data":
         raise ValueError(f"unknown combine mode: {mode!r}")
-    better_b = F.col("o_conf") > F.col("g_conf")
-    best = [
-        F.when(better_b, F.col(f"o_{c}")).otherwise(F.col(f"g_{c}")).alias(c)
-        for c in WORD_COLS
-        if c not in PAGE
-    ]
-    source = F.when(better_b, "b").otherwise("a").alias("source")
-    only_b = _rest(b, pairs, "o_").select(*WORD_COLS, F.lit("b").alias("source"))
-    return stack(pairs.select(*PAGE, *best, source), only_a, only_b)
+    from_b = F.col("o_conf") > F.col("g_conf")
+    matched = row(
+        F.when(from_b, "b").otherwise("a"),
+        lambda c: F.when(from_b, F.col(f"o_{c}")).otherwise(F.col(f"g_{c}")),
+    )
+    return _with_rest(pairs, matched, [lone("g_", a, "a"), lone("o_", b, "b")])
 
 
 def conflicts(
