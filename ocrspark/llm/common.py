@@ -10,7 +10,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ocrspark.session import scratch_dir, tune
 
@@ -61,6 +61,12 @@ def same(left: DataFrame, right: DataFrame, *names: str) -> Column:
     return cond
 
 
+def widened(df: DataFrame, **columns: str) -> T.StructType:
+    """The schema of ``df`` with more columns."""
+    more = [T.StructField(name, T.DataType.fromDDL(kind)) for name, kind in columns.items()]
+    return T.StructType([*df.schema.fields, *more])
+
+
 def in_fifths(key: Column) -> Column:
     """Whether a row is held out: crc32 of its id as text leaves 0 when divided by 5."""
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 5 == 0, F.lit(False))

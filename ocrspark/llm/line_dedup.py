@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ocrspark.llm.common import BLANKS, binary_rows, session, slices, stored
+from ocrspark.llm.common import BLANKS, binary_rows, session, slices, stored, widened
 
 #: Bits a part of the filters covers; parts travel as sorted 16-bit offsets.
 PART_BITS = 1 << 15
@@ -204,5 +204,5 @@ def dedup_lines(
         drops.withColumnsRenamed({"id": "__did", "h": "__dh"}),
         F.col("__id").eqNullSafe(F.col("__did")) & (F.col("__h") == F.col("__dh")), "left",
     ).select(*df.columns, "__drop")
-    out = df.schema.add("n_lines", "long").add("n_dropped", "long")
+    out = widened(df, n_lines="bigint", n_dropped="bigint")
     return joined.mapInArrow(partial(_cut, at=df.columns.index(text_col), fields=out.names), out)

@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ocrspark.llm import embedding_dedup, line_dedup, minhash_dedup
-from ocrspark.llm.common import table
+from ocrspark.llm import (
+    chat_format, decontaminate, embedding_dedup, line_dedup, minhash_dedup, quality, toxicity,
+)
+from ocrspark.llm.common import in_fifths, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -55,3 +57,35 @@ def _(s, p):
 @register("op8_minhash_dedup")
 def _(s, p):
     return minhash_dedup.near_duplicates(table(s, p, "documents").select("doc_id", "text"))
+
+
+@register("op3_decontaminate")
+def _(s, p):
+    docs = table(s, p, "documents").select("doc_id", "text")
+    return decontaminate.contaminated(docs, table(s, p, "benchmark"))
+
+
+@register("op5_chat_format")
+def _(s, p):
+    turns = table(s, p, "conversations")
+    model = chat_format.train(turns.where(~in_fifths(F.col("conv_id"))))
+    return chat_format.format_chat(turns.drop("role"), model)
+
+
+def _classified(s: SparkSession, p: str, operator, label: str, limit: float) -> DataFrame:
+    docs, labels = table(s, p, "documents"), table(s, p, "labels")
+    model = operator.train(docs, labels.where(~in_fifths(F.col("doc_id"))), label)
+    return operator.score(docs.select("doc_id", "text"), model).select(
+        "doc_id", in_fifths(F.col("doc_id")).alias("held_out"), "score",
+        (F.col("score") >= limit).cast("int").alias("predicted"),
+    )
+
+
+@register("op4_toxicity")
+def _(s, p):
+    return _classified(s, p, toxicity, "toxic", 0.5)
+
+
+@register("op6_quality")
+def _(s, p):
+    return _classified(s, p, quality, "quality", 0.3)
