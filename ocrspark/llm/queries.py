@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ocrspark.llm import (
-    chat_format, decontaminate, embedding_dedup, line_dedup, minhash_dedup, quality, toxicity,
+    bpe, chat_format, decontaminate, embedding_dedup, line_dedup, minhash_dedup, quality, resharding, toxicity, warc,
 )
 from ocrspark.llm.common import in_fifths, table
+from ocrspark.session import scratch_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -89,3 +91,42 @@ def _(s, p):
 @register("op6_quality")
 def _(s, p):
     return _classified(s, p, quality, "quality", 0.3)
+
+
+@register(
+    "op7_warc",
+    """with p as (
+        select page_id, octet_length(encode(coalesce(html, ''))) as n, sha256(coalesce(html, '')) as digest from pages),
+    q as (select *, min(page_id) over (partition by digest) as first from p)
+    select page_id, n::bigint as payload_bytes, digest as payload_digest,
+           case when n >= 100 and page_id <> first then 'revisit' else 'response' end as record_type,
+           case when n >= 100 and page_id <> first then first end as refers_to
+    from q""",
+)
+def _(s, p):
+    return warc.archive(table(s, p, "pages"))
+
+
+VOCABULARY = "word_bpe_49k.json"
+
+
+@register("op9_bpe")
+def _(s, p):
+    docs = table(s, p, "documents").select("doc_id", "text")
+    return bpe.round_trip(docs, public_tokenizers.path(VOCABULARY))
+
+
+#: Shards the documents lie in before, and shards they are put in.
+OLD_SHARDS, NEW_SHARDS = 16, 24
+
+
+@register("op10_resharding")
+def _(s, p):
+    docs = table(s, p, "documents").select("doc_id", "text")
+    old = F.pmod(F.xxhash64("doc_id"), F.lit(OLD_SHARDS))
+    new = resharding.reshard(docs, scratch_dir(s, "shards"), old, NEW_SHARDS)
+    return new.select(
+        "doc_id", resharding.size_of(F.col("text")).alias("size"),
+        F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).alias("text_crc32"),
+        F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
+    )
