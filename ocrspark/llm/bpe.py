@@ -29,7 +29,7 @@ from ocrspark.llm.common import session, slices, widened
 
 #: The pattern that cuts words, and white space between them.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-SPACE = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
+SPACE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 #: Characters that Python takes for white space and the vocabulary's rules do not.
 CONTROLS = re.compile("[\x1c-\x1f]")
 WORD_END = "</w>"
