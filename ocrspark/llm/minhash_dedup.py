@@ -6,9 +6,11 @@ into an odd sketch, a bitmap in which every (position, sample) flips one bit: th
 two sketches differ estimate how many samples differ, most precisely where few do. Pairs whose
 estimate lies clearly below the threshold are left out, all others are confirmed on full sets.
 
-Links are found in two passes, so that a large group of copies does not emit all its pairs.
-The first takes a spanning choice per bucket and confirms it. The second takes every pair that
-still lies in different components, so no link between components is lost.
+Links are found in two passes, so that a large group does not emit its pairs. The first takes a
+spanning choice per bucket and confirms it. The second looks at every pair that is similar by its
+sketch and still lies in different components: the sets of such texts come together in bounded
+units of their buckets, are confirmed there, and only a spanning set of links comes out. So no
+link between components is lost, and what is shuffled grows with the texts and not with the pairs.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ SKETCH_BITS = 512
 #: Deviations of the sketch estimate that a pair may lie below the threshold and still be confirmed.
 SLACK = 5.0
 SEED = 29
+#: Columns of a membership matrix that are held at a time.
+COLUMNS = 4096
 #: Shingles hashed at a time, so that a long text needs no more memory than a short one.
 CHUNK = 4096
 
@@ -109,60 +113,97 @@ def _sets(batches, n: int):
             )
 
 
-def _meetings(batches, most: int, every: bool):
-    """Pairs to confirm: all of different parts, or a spanning choice of each unit."""
+def _similar(t: pa.Table, most: int):
+    """Index pairs of different parts within the units of a table whose sketches are close."""
+    part, unit, home = (t[c].to_numpy() for c in ("part", "unit", "home"))
+    across = t["across"].to_numpy(zero_copy_only=False)
+    sketch = rows_of(t["sketch"], U64, SKETCH_BITS // 64)
+
+    def near(i, j):
+        ok = part[i] != part[j]
+        ok[ok] = np.bitwise_count(sketch[i[ok]] ^ sketch[j[ok]]).sum(axis=1, dtype=np.int64) <= most
+        return ok
+
+    def dense(a, b):
+        out = np.zeros((len(a), len(b)), np.int16)
+        for w in range(sketch.shape[1]):
+            out += np.bitwise_count(sketch[a, w][:, None] ^ sketch[b, w][None, :])
+        return (out <= most) & (part[a][:, None] != part[b][None, :])
+
+    found = list(groups.pairs(unit, across, home, near, dense))
+    none = np.zeros(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else (none, none)
+
+
+def _chosen(batches, most: int):
+    """For each row of a unit its meeting with the earliest row it is similar to, and one to a later row."""
     for t in groups.by_unit(batches):
-        node, part, unit, home = (t[c].to_numpy() for c in ("node", "part", "unit", "home"))
-        across = t["across"].to_numpy(zero_copy_only=False)
-        sketch = rows_of(t["sketch"], U64, SKETCH_BITS // 64)
-
-        def near(i, j):
-            ok = part[i] != part[j]
-            ok[ok] = np.bitwise_count(sketch[i[ok]] ^ sketch[j[ok]]).sum(axis=1, dtype=np.int64) <= most
-            return ok
-
-        def dense(a, b):
-            out = np.zeros((len(a), len(b)), np.int16)
-            for w in range(sketch.shape[1]):
-                out += np.bitwise_count(sketch[a, w][:, None] ^ sketch[b, w][None, :])
-            return (out <= most) & (part[a][:, None] != part[b][None, :])
-
-        found = list(groups.pairs(unit, across, home, near, dense))
-        if not found:
-            continue
-        i, j = (np.concatenate(x) for x in zip(*found))
-        if not every:
-            # each row keeps its meeting with the earliest row it is similar to, and one to a later row
-            a, b = np.minimum(i, j), np.maximum(i, j)
-            keep = np.unique(np.r_[
-                np.lexsort((a, b))[np.unique(np.sort(b), return_index=True)[1]],
-                np.lexsort((b, a))[np.unique(np.sort(a), return_index=True)[1]],
-            ])
-            i, j = a[keep], b[keep]
-        x, y = node[i], node[j]
+        i, j = _similar(t, most)
+        a, b = np.minimum(i, j), np.maximum(i, j)
+        keep = np.unique(np.r_[
+            np.lexsort((a, b))[np.unique(np.sort(b), return_index=True)[1]],
+            np.lexsort((b, a))[np.unique(np.sort(a), return_index=True)[1]],
+        ])
+        node = t["node"].to_numpy()
+        x, y = node[a[keep]], node[b[keep]]
         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame, n: int, percent: int, label: str) -> DataFrame:
-    """Those pairs whose full sets reach the similarity."""
-    nodes = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
-    nodes = stored(nodes.join(classes.select("node", "id", "p1", "p2"), "node"), f"{label}-nodes")
-    wanted = texts.join(nodes, same(texts, nodes, "id")).select("node", "p1", "p2", "text")
-    found = stored(
-        wanted.mapInArrow(partial(_sets, n=n), "node long, shingles array<long>").dropDuplicates(["node"]),
-        f"{label}-sets",
-    )
-    half = pairs.join(found.select(F.col("node").alias("a"), F.col("shingles").alias("left")), "a")
-    both = half.join(found.select(F.col("node").alias("b"), F.col("shingles").alias("right")), "b")
-    shared = F.size(F.array_intersect("left", "right"))
-    return stored(
-        both.select("a", "b", shared.alias("both"), (F.size("left") + F.size("right") - shared).alias("either"))
-        .where(F.expr(f"100L * both >= {percent}L * either")).select("a", "b"), label,
-    )
+def _open(batches, most: int):
+    """Rows of units that are similar to a row of another part."""
+    for t in groups.by_unit(batches):
+        i, j = _similar(t, most)
+        rows = pa.array(np.unique(np.r_[i, j]))
+        yield from t.select(["unit", "across", "home", "node"]).take(rows).combine_chunks().to_batches()
+
+
+def shared(sets: list[np.ndarray]) -> np.ndarray:
+    """Matrix of the sizes of the intersections of all sets.
+
+    Members that lie in one set only are left out; the others are the columns of a matrix of zeros
+    and ones, which is multiplied by itself a stretch of columns at a time.
+    """
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    many = count > 1
+    number = np.cumsum(many) - 1
+    keep = many[column]
+    row, column = row[keep], number[column[keep]]
+    out = np.zeros((len(sets), len(sets)), np.int64)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for start in range(0, int(many.sum()), COLUMNS):
+        a, b = np.searchsorted(column, (start, start + COLUMNS))
+        members = np.zeros((len(sets), COLUMNS), np.float32)
+        members[row[a:b], column[a:b] - start] = 1
+        out += (members @ members.T).astype(np.int64)
+    return out
+
+
+def _exact(batches, percent: int):
+    """A spanning set of the links between different parts within each unit, by full sets."""
+    for t in groups.by_unit(batches):
+        unit, node, part, home = (t[c].to_numpy() for c in ("unit", "node", "part", "home"))
+        across = t["across"].to_numpy(zero_copy_only=False)
+        lists = t["shingles"].combine_chunks()
+        ends, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+        starts = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]])
+        out = []
+        for s, e in zip(starts.tolist(), np.r_[starts[1:], len(unit)].tolist()):
+            sizes = np.diff(ends[s : e + 1]).astype(np.int64)
+            both = shared([values[ends[k] : ends[k + 1]] for k in range(s, e)])
+            linked = 100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)
+            linked &= part[s:e][:, None] != part[s:e][None, :]
+            if across[s]:
+                linked &= home[s:e][:, None] != home[s:e][None, :]
+            root = groups.roots(e - s, *np.nonzero(np.triu(linked, 1)))
+            out.append((s + np.flatnonzero(root != np.arange(e - s)), s + root[root != np.arange(e - s)]))
+        i, j = (np.concatenate(x) for x in zip(*out))
+        yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j])], ["a", "b"])
 
 
 def near_duplicates(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75, block: int = 2048
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75, block: int = 512
 ) -> DataFrame:
     """``(id, n_shingles, component_id, kept)`` for every row of ``df``.
 
@@ -195,21 +236,38 @@ def near_duplicates(
         groups.units(keys, ["band", "code"], block, "bands").select("unit", "across", "home", "node"), "meetings"
     )
     most = most_differing(percent / 100)
+    nodes = stored(met.select("node").distinct().join(classes.select("node", "id", "p1", "p2"), "node"), "met")
+    wanted = texts.join(nodes, same(texts, nodes, "id")).select("node", "p1", "p2", "text")
+    found = stored(
+        wanted.mapInArrow(partial(_sets, n=n), "node long, shingles array<long>").dropDuplicates(["node"]), "sets"
+    )
 
-    def meetings(parts: DataFrame, every: bool, label: str) -> DataFrame:
-        rows = met.join(classes.select("node", "sketch"), "node").join(parts, "node", "left")
-        rows = rows.withColumn("part", F.coalesce("part", "node")).drop("band", "code")
-        rows = rows.repartition(tasks, "unit").sortWithinPartitions("unit")
-        return stored(rows.mapInArrow(partial(_meetings, most=most, every=every), "a long, b long").distinct(), label)
+    def by_unit(rows: DataFrame) -> DataFrame:
+        return rows.repartition(tasks, "unit").sortWithinPartitions("unit")
 
-    alone = spark.createDataFrame([], "node long, part long")
-    chosen = meetings(alone, False, "chosen")
-    links = _confirmed(chosen, classes, texts, n, percent, "links")
+    sketched = met.join(classes.select("node", "sketch"), "node")
+    pairs = by_unit(sketched.withColumn("part", F.col("node"))).mapInArrow(partial(_chosen, most=most), "a long, b long")
+    half = stored(pairs.distinct(), "chosen").join(
+        found.select(F.col("node").alias("a"), F.col("shingles").alias("left")), "a"
+    )
+    full = half.join(found.select(F.col("node").alias("b"), F.col("shingles").alias("right")), "b")
+    both = F.size(F.array_intersect("left", "right"))
+    links = stored(
+        full.select("a", "b", both.alias("both"), (F.size("left") + F.size("right") - both).alias("either"))
+        .where(F.expr(f"100L * both >= {percent}L * either")).select("a", "b"), "links",
+    )
     parts = stored(connected_components(links).withColumnRenamed("component", "part"), "parts")
-    rest = stored(meetings(parts, True, "open").join(chosen, ["a", "b"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        links = links.unionAll(_confirmed(rest, classes, texts, n, percent, "late-links"))
-        parts = stored(connected_components(links).withColumnRenamed("component", "part"), "late-parts")
+
+    def with_part(rows: DataFrame) -> DataFrame:
+        return rows.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
+
+    unit = "unit long, across boolean, home int, node long"
+    left = stored(by_unit(with_part(sketched)).mapInArrow(partial(_open, most=most), unit), "open")
+    late = by_unit(with_part(left.join(found, "node"))).mapInArrow(partial(_exact, percent=percent), "a long, b long")
+    late = stored(late.distinct(), "late-links")
+    # the parts found so far are links too, and fewer than those they came from
+    joined = parts.select(F.col("node").alias("a"), F.col("part").alias("b")).unionAll(late)
+    parts = stored(connected_components(joined).withColumnRenamed("component", "part"), "late-parts")
     placed = classes.select("node", "id", "p1", "p2").join(parts, "node", "left")
     placed = stored(placed.withColumn("part", F.coalesce("part", "node")), "placed")
     least = stored(placed.groupBy("part").agg(F.min("id").alias("component_id")), "least")
