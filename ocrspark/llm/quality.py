@@ -211,7 +211,7 @@ def train(
     """Model from at most ``rows`` labelled documents (see :func:`labelled.sample`)."""
     session(df.sparkSession)
     chosen = labelled.sample(df, labels, label, rows, id_col, text_col)
-    got = chosen.mapInArrow(_measured, "id long, x array<double>, label int").orderBy("id").toArrow()
+    got = chosen.mapInArrow(_measured, "id long, x array<double>, label int").toArrow().sort_by("id")
     x = got["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES)) if got.num_rows else np.zeros((0, len(FEATURES)))
     return fit(x, got["label"].to_numpy().astype(float))
 
