@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ocrspark import pins
 from ocrspark.operators.positions import prefix_sums, rank_in
-from ocrspark.session import stack
+from ocrspark.session import stack, stored
 
 
 def _grouped(annots: DataFrame) -> DataFrame:
@@ -36,6 +36,7 @@ def annot_nav(index: DataFrame, places: DataFrame) -> DataFrame:
     the step leads past it. Groups are ranked by page, so an anchor follows from how many
     groups lie on earlier pages and on this one.
     """
+    index = stored(index, "index")
     here = places.select(*pins.PAGE_KEY).distinct().withColumn("n", F.lit(0).cast("long"))
     on_page = index.groupBy(*pins.PAGE_KEY).agg(F.count("*").alias("n"))
     counts = stack(here, on_page).groupBy(*pins.PAGE_KEY).agg(F.sum("n").alias("n"))
@@ -70,12 +71,17 @@ def apply_highlights(annots: DataFrame, ops: DataFrame) -> DataFrame:
     """Word highlights after a log of operations ``(seq, doc_id, word_id, op, color, opacity, comment)``.
 
     The last ``highlight`` of a word counts; colour ``none`` removes it, and with it the
-    comments so far. ``comment`` sets the text of a highlight that is there. Opacity
-    arrives in percent.
+    comments so far. ``comment`` sets the text of a highlight that is there at that moment,
+    else it is lost. Opacity arrives in percent.
     """
     is_mark = F.col("op") == "highlight"
-    is_note = F.col("op") == "comment"
     seq = F.col("seq")
+    earlier = W.partitionBy("doc_id", "word_id").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
+    there = annots.select("doc_id", "word_id", (F.col("color") != "none").alias("from_start"))
+    ops = ops.join(there, ["doc_id", "word_id"], "left").withColumn(
+        "shown", F.coalesce(F.last(F.when(is_mark, F.col("color") != "none"), True).over(earlier), "from_start", F.lit(False))
+    )
+    is_note = (F.col("op") == "comment") & F.col("shown")
     log = ops.groupBy("doc_id", "word_id").agg(
         F.max(F.when(is_mark, seq)).alias("mark_seq"),
         F.max_by("color", F.when(is_mark, seq)).alias("new_color"),
@@ -86,7 +92,7 @@ def apply_highlights(annots: DataFrame, ops: DataFrame) -> DataFrame:
     )
     old = annots.select("doc_id", "word_id", "color", "opacity", "comment")
     marked, removed = F.col("mark_seq").isNotNull(), F.col("gone_seq").isNotNull()
-    noted = F.col("note_seq") > F.coalesce("gone_seq", F.lit(-1))
+    noted = F.col("note_seq").isNotNull() & (F.col("gone_seq").isNull() | (F.col("note_seq") > F.col("gone_seq")))
     color = F.when(marked, F.col("new_color")).otherwise(F.col("color"))
     opacity = F.when(marked, F.col("new_opacity") / F.lit(100.0)).otherwise(F.col("opacity"))
     comment = F.when(noted, F.col("new_comment")).when(~removed, F.col("comment"))

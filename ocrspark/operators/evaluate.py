@@ -37,9 +37,7 @@ def align(
 
     ``keep`` starts with the address of a word; fewer columns make smaller shuffles.
     """
-    # A word table is never small enough to send to every executor, whatever the
-    # estimate says: an estimate does not see how many words an explode brought forth.
-    gt_side = _side(gt, "g_", keep).hint("merge")
+    gt_side = _side(gt, "g_", keep)
     pairs = overlap_join(_side(ocr, "o_", keep), gt_side, "o_", "g_")
     best = [F.col("overlap").desc()]
     per_gt = W.partitionBy(*PAGE, "g_line_no", "g_word_no").orderBy(*best, "o_line_no", "o_word_no")

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from ocrspark.session import stored
+
 # Pages per block: a document of 2^31 pages still has only 2^19 blocks.
 BLOCK_BITS = 12
 
@@ -22,6 +24,8 @@ def prefix_sums(rows: DataFrame, part: list[str], keys: list[str], value: str) -
 
     ``rows`` holds one row per ``part + keys``; ``keys[0]`` is an integer such as the page.
     """
+    # every level reads the rows once more, so what they come from is computed only once
+    rows = stored(rows, "counts")
     blocked = rows.withColumn("_blk", F.shiftright(keys[0], BLOCK_BITS))
     order = ["_blk", *keys]
     total, out = F.lit(0).cast("long"), blocked

@@ -11,13 +11,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ocrspark import pins
 from ocrspark.operators.selection import union_boxes
-from ocrspark.session import spread, tune
+from ocrspark.session import measured_broadcasts, spread, tune
 
 E = F.expr
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return tune(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return measured_broadcasts(tune(spark)).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

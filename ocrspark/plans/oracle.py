@@ -104,7 +104,7 @@ TABLES = {
       from gt where h between 30 and 39)""",
     "edited": """select g.*, f.value as v_font, b.value as v_bold, i.value as v_italic, z.value as v_size,
       (select sum(delta) from edits e where e.doc_id = g.doc_id and e.word_id = g.word_id and e.field = 'size'
-        and e.value is null and e.seq > coalesce(z.seq, -1)) as step from gt g
+        and e.value is null and (z.seq is null or e.seq > z.seq)) as step from gt g
       left join last_edit f on f.doc_id = g.doc_id and f.word_id = g.word_id and f.field = 'font'
       left join last_edit b on b.doc_id = g.doc_id and b.word_id = g.word_id and b.field = 'bold'
       left join last_edit i on i.doc_id = g.doc_id and i.word_id = g.word_id and i.field = 'italic'
@@ -135,7 +135,7 @@ TABLES = {
         string_agg(text, chr(10) order by line_no), '-' || chr(10), ''), chr(10), ' ') as text
       from (select doc_id, page_no, par_no, line_no, string_agg(text, ' ' order by word_no) as text
         from gt group by all) group by all""",
-    "rr": """select w.doc_id, dense_rank() over (partition by w.doc_id order by w.page_no) - 1 as page_no,
+    "rr": """select w.doc_id, w.page_no,
       dense_rank() over (partition by w.doc_id, w.page_no order by w.line_no) - 1 as line_no,
       row_number() over (partition by w.doc_id, w.page_no, w.line_no order by w.word_no) - 1 as word_no,
       word_id, text, conf, lang, font, bold, italic, small_caps, sup, underline, size, l, t, r, b from gt w""",

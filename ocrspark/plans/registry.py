@@ -77,9 +77,7 @@ def _reparsed(records: DataFrame) -> DataFrame:
 
 @register(
     "s2_flatten_pages",
-    """select n.doc_id, (dense_rank() over (partition by n.doc_id order by n.page_no) - 1)::int as page_no,
-       n.page_no as ppageno, width, height from (select distinct doc_id, page_no from gt) n
-       join pg on n.doc_id = pg.doc_id and n.page_no = pg.page_no""",
+    "select doc_id, page_no, page_no as ppageno, width, height from pg",
 )
 def _(s, p):
     pages = hocr.pages(_reparsed(_records(s, p)))
@@ -90,7 +88,7 @@ def _(s, p):
 
 @register(
     "s7_write_hocr",
-    """select doc_id, (dense_rank() over (partition by doc_id order by page_no) - 1)::int as page_no,
+    """select doc_id, page_no,
        (row_number() over (partition by doc_id, page_no order by line_no) - 1)::int as line_no,
        l, t, r, b, slope, "offset"::double as "offset", x_height::double as x_x_height from lines""",
 )
@@ -105,8 +103,7 @@ def _(s, p):
 @register(
     "s3_read_meta",
     "select doc_id, page_no, region_id, (row_number() over (partition by doc_id, page_no order by region_seq)"
-    " - 1)::int as region_seq, kind, ord, l, t, r, b from regions"
-    " where doc_id in (select doc_id from gt)",
+    " - 1)::int as region_seq, kind, ord, l, t, r, b from regions",
 )
 def _(s, p):
     layout_meta = hocr.layout_json(_regions(s, p))
@@ -460,17 +457,23 @@ def _(s, p):
 
 @register(
     "j10_apply_highlights",
+    # replayed one operation at a time
     """select doc_id, word_id, color, opacity, comment from (
-         select coalesce(a.doc_id, o.doc_id) as doc_id, coalesce(a.word_id, o.word_id) as word_id,
-           case when mark is not null then mark.color else color end as color,
-           case when mark is not null then mark.opacity / 100e0 else opacity end as opacity,
-           case when note.seq > coalesce(gone, -1) then note.comment when gone is null then comment end as comment
-         from annots a full join (
-           select doc_id, word_id, max_by({'color': color, 'opacity': opacity}, seq) filter (op = 'highlight') as mark,
-             max(seq) filter (color = 'none') as gone,
-             max_by({'seq': seq, 'comment': comment}, seq) filter (op = 'comment') as note
-           from ops group by all) o on a.doc_id = o.doc_id and a.word_id = o.word_id)
-       where color is not null and color <> 'none'""",
+         with recursive step as (
+           select *, row_number() over (partition by doc_id, word_id order by seq) as k from ops),
+         state as (
+           select w.doc_id, w.word_id, 0::bigint as k, a.color, a.opacity::double as opacity, a.comment
+           from (select doc_id, word_id from annots union select doc_id, word_id from ops) w
+           left join annots a on a.doc_id = w.doc_id and a.word_id = w.word_id
+           union all
+           select s.doc_id, s.word_id, o.k,
+             case o.op when 'highlight' then nullif(o.color, 'none') else s.color end,
+             case when o.op <> 'highlight' then s.opacity when o.color <> 'none' then o.opacity / 100e0 end,
+             case when o.op = 'comment' and s.color is not null then o.comment
+               when o.op = 'comment' or o.color <> 'none' then s.comment end
+           from state s join step o on o.doc_id = s.doc_id and o.word_id = s.word_id and o.k = s.k + 1)
+         select * from state qualify k = max(k) over (partition by doc_id, word_id))
+       where color is not null""",
 )
 def _(s, p):
     words = d.gt_words(s, p)
@@ -676,6 +679,17 @@ def _(s, p):
     return fonts.glyph_metrics(d.with_chars(d.gt_words(s, p)))
 
 
+@register(
+    "f1_style_metrics",
+    """select font, style, ascii(ch)::varchar as code, avg((r - l)::double / x_height) as width,
+       avg((b - t)::double / x_height) as height from ch where font is not null group by all""",
+)
+def _(s, p):
+    maps = fonts.style_metrics(fonts.glyph_metrics(d.with_chars(d.gt_words(s, p))))
+    rows = maps.select("font", "style", F.explode("width").alias("code", "width"), "height")
+    return rows.withColumn("height", F.element_at("height", F.col("code")))
+
+
 @register(
     "f2_kerning",
     """select font, style, ch as first, nx as second, avg((nl - r)::double / x_height) as gap, count(*) as obs
@@ -884,8 +898,7 @@ def _(s, p):
 
 @register(
     "r1_stream_hocr",
-    "select doc_id, (dense_rank() over (partition by doc_id order by page_no) - 1)::int as page_no, page_no as ppageno"
-    " from (select distinct doc_id, page_no from gt)",
+    "select distinct doc_id, page_no, page_no as ppageno from gt",
 )
 def _(s, p):
     path = scratch_dir(s, "stream")

@@ -40,6 +40,17 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def measured_broadcasts(spark: SparkSession) -> SparkSession:
+    """Only sides whose size has been measured at run time are broadcast.
+
+    A size estimate does not see how many rows an explode makes of a document, so a side that
+    is thought to be small may be most of the corpus.
+    """
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "16m")
+    return spark
+
+
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder name below ``spark.checkpoint.dir``.
 
@@ -56,16 +67,19 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Use every core when a small input arrives in fewer splits than there are cores.
+    """Deal rows by ``key`` over all shuffle partitions, at every size of the input.
 
-    The shuffle is bounded: it happens only if Catalyst's size estimate is below
-    one full split per core. Large inputs keep the partitioning of their scan.
+    Rows of very different cost, such as texts that are cut into words next, then do not
+    follow the splits of the files they come from.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores * 2, key) if size < cores * split else df
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written to the shared folder and read back, for a small result that is used often."""
+    path = scratch_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def stack(first: DataFrame, *rest: DataFrame, missing: bool = False) -> DataFrame:

@@ -107,7 +107,8 @@ def test_stack_of_copies_stays_small(spark):
 def test_status_and_counts_agree(spark):
     rng = random.Random(7)
     gt = random_boxes(rng, 200, 9)
-    ocr = [(d, p, i, l + 1, t, r, b) for d, p, i, l, t, r, b in gt if i % 5] + random_boxes(rng, 30, 9)[:0]
+    ocr = [(d, p, i, l + 1, t, r, b) for d, p, i, l, t, r, b in gt if i % 5]
+    ocr += [(d, p, 1000 + i, *box) for d, p, i, *box in random_boxes(rng, 30, 9)]
     g, o = words_df(spark, gt), words_df(spark, ocr, "X")
     by_status = evaluate.eval_page(evaluate.word_status(g, o))
     by_count = evaluate.eval_versions(g, o)
