@@ -205,7 +205,8 @@ def contaminated(
         windows.join(bench.select("item", "words"), "item")
         .groupBy("id").agg(F.collect_list(F.struct("item", "stretch", "words")).alias("windows")), "document-windows",
     )
-    joined = texts.join(per_doc, same(texts, per_doc, "id")).select(texts["id"], "text", "windows")
+    # one plan at every size: what is broadcast for few texts would be shuffled for many
+    joined = texts.join(per_doc.hint("merge"), same(texts, per_doc, "id")).select(texts["id"], "text", "windows")
     scored = joined.mapInArrow(_aligned, "id long, item long, score double, last_word long")
     best = scored.where(F.col("score") >= threshold).groupBy("id", "item").agg(
         F.max(F.struct("score", (-F.col("last_word")).alias("back"))).alias("best")

@@ -237,7 +237,8 @@ def near_duplicates(
     )
     most = most_differing(percent / 100)
     nodes = stored(met.select("node").distinct().join(classes.select("node", "id", "p1", "p2"), "node"), "met")
-    wanted = texts.join(nodes, same(texts, nodes, "id")).select("node", "p1", "p2", "text")
+    # one plan at every size: what is broadcast for few texts would be shuffled for many
+    wanted = texts.join(nodes.hint("merge"), same(texts, nodes, "id")).select("node", "p1", "p2", "text")
     found = stored(
         wanted.mapInArrow(partial(_sets, n=n), "node long, shingles array<long>").dropDuplicates(["node"]), "sets"
     )
