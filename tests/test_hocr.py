@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from ocrspark.operators import batch, fonts
@@ -233,3 +234,33 @@ def test_page_text_files_keep_document_order(spark, tmp_path):
     for part in sorted((tmp_path / "text").glob("part-*")):
         lines += part.read_text().splitlines()
     assert lines == [f"d{d}p{p}w0 d{d}p{p}w1" for d in range(5) for p in range(12)]
+
+
+def test_batch_writes_the_text_of_good_files(spark, tmp_path):
+    box = "1 as l, 2 as t, 30 as r, 40 as b, 90 as conf"
+    words = spark.sql(
+        f"""select *, {box} from values ('x', 0, 0, 0, 'w0', 'Four'), ('x', 0, 0, 1, 'w1', 'elms'), ('x', 1, 0, 0, 'w2', 'fell'),
+        ('y', 0, 0, 0, 'w3', 'Rain') as v(doc_id, page_no, line_no, word_no, word_id, text)"""
+    )
+    pages = spark.sql("select doc_id, 0 as page_no, 50 as width, 60 as height from values ('x'), ('y'), ('z') as v(doc_id)")
+    made = {r.doc_id: r.hocr for r in hocr.hocr_records(words, pages=pages).collect()}
+    files = {
+        "one.hocr": made["x"], "both.hocr": made["y"] + "\n" + made["x"], "bare.hocr": made["z"],
+        "cut.hocr": made["x"][:-9], "half.hocr": made["x"] + made["y"].replace("</div>", ""),
+    }
+    source = tmp_path / "in"
+    source.mkdir()
+    for name, text in files.items():
+        (source / name).write_text(text)
+    docs = batch.parse_batch(hocr.raw_files(spark, str(source)))
+    rows = batch.convert(docs, str(tmp_path / "out"), compress=False).collect()
+    assert {(r.file.rsplit("/", 1)[1], r.status, r.output) for r in rows} == {
+        ("one.hocr", "Done", "one.txt"), ("both.hocr", "Done", "both.txt"), ("bare.hocr", "Done", "bare.txt"),
+        ("cut.hocr", "Error", None), ("half.hocr", "Error", None),
+    }
+    written = spark.read.text(str(tmp_path / "out"), wholetext=True).collect()
+    assert {(r.output, r.value.rstrip("\n")) for r in written} == {
+        ("one.txt", "Four elms\nfell"), ("both.txt", "Rain\nFour elms\nfell"), ("bare.txt", ""),
+    }
+    with pytest.raises(ValueError):
+        batch.convert(docs, str(tmp_path / "other"), "docx")
