@@ -435,6 +435,28 @@ def _(s, p):
     return layout.drop_regions(regions, ids)
 
 
+_SPREAD_COLS = """(select * from cols union all
+    select g.doc_id, g.page_no, table_id, rule, level, col_no, l, t, r, b
+      from pg g join docs d on g.doc_id = d.doc_id join cols c on c.doc_id = g.doc_id
+      where page_count >= 2 and g.page_no between 1 and least(3, page_count) - 1)"""
+
+
+def _spread_cols(s: SparkSession, p: str) -> DataFrame:
+    docs = d.docs(s, p)
+    return layout.propagate_layout(d.table_cols(docs), d.pages(docs), docs, 0, "2", "3")
+
+
+@register("j6_propagate_tables", f"select * from {_SPREAD_COLS}")
+def _(s, p):
+    return _spread_cols(s, p)
+
+
+@register("j7_drop_tables", f"select * from {_SPREAD_COLS} where (doc_id + page_no) % 2 <> 0")
+def _(s, p):
+    cols = _spread_cols(s, p)
+    return layout.drop_tables(cols, cols.filter("(doc_id + page_no) % 2 = 0 and col_no = 0"))
+
+
 @register("j8_delete_words", f"select {ADDRESS}, word_id from gt where h not between 50 and 54")
 def _(s, p):
     words = d.gt_words(s, p)
