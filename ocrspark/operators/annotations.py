@@ -67,6 +67,29 @@ def annot_nav(index: DataFrame, places: DataFrame) -> DataFrame:
     )
 
 
+def annot_position(index: DataFrame, places: DataFrame) -> DataFrame:
+    """Counter of each place: 1-based ``position`` and ``total`` groups of the document.
+
+    The position is that of the selected group, without a selection that of the first group
+    on the page, and 0 where there is none. An empty group counts as no selection.
+    """
+    index = stored(index, "index")
+    own = index.select("doc_id", "group_id", F.col("idx").alias("own"))
+    first = index.groupBy(*pins.PAGE_KEY).agg(F.min("idx").alias("first"))
+    totals = index.groupBy("doc_id").agg(F.count("*").alias("total"))
+    chosen = F.nullif("group_id", F.lit("")).isNotNull()
+    at = (
+        places.join(own, ["doc_id", "group_id"], "left")
+        .join(first, list(pins.PAGE_KEY), "left")
+        .join(totals, "doc_id", "left")
+    )
+    zero = F.lit(0).cast("long")
+    position = F.coalesce(F.when(chosen, F.col("own")).otherwise(F.col("first")).cast("long"), zero)
+    return at.select(
+        *pins.PAGE_KEY, "group_id", position.alias("position"), F.coalesce("total", zero).alias("total")
+    )
+
+
 def apply_highlights(annots: DataFrame, ops: DataFrame) -> DataFrame:
     """Word highlights after a log of operations ``(seq, doc_id, word_id, op, color, opacity, comment)``.
 

@@ -786,6 +786,24 @@ def _(s, p):
     return annotations.annot_nav(index, stack(places, index.select(*pins.PAGE_KEY, "group_id")))
 
 
+@register(
+    "w2_annot_position",
+    """select q.doc_id, q.page_no, q.group_id,
+         coalesce(case when q.group_id is not null
+           then (select max(i.idx) from idx i where i.doc_id = q.doc_id and i.group_id = q.group_id)
+           else (select min(i.idx) from idx i where i.doc_id = q.doc_id and i.page_no = q.page_no) end, 0)::bigint as position,
+         (select count(*) from idx i where i.doc_id = q.doc_id)::bigint as total
+       from (select doc_id, page_no, null as group_id from pg union all select doc_id, page_no, group_id from idx
+         union all select doc_id, page_no, 'gone' from pg) q""",
+)
+def _(s, p):
+    index = _index(s, p)
+    pages = d.pages(d.docs(s, p)).select(*pins.PAGE_KEY)
+    unselected = pages.withColumn("group_id", F.lit(None).cast("string"))
+    gone = pages.withColumn("group_id", F.lit("gone"))
+    return annotations.annot_position(index, stack(unselected, index.select(*pins.PAGE_KEY, "group_id"), gone))
+
+
 def _counts(s, p) -> DataFrame:
     return search.find_text(d.gt_words(s, p), " En ")
 
