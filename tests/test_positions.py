@@ -68,3 +68,15 @@ def test_navigation_wraps_and_skips_anchor(spark):
         (0, None): ("c", "b"), (2, None): ("a", "b"), (3, None): ("a", "a"), (6000, None): ("b", "a"),
         (2, "a"): ("c", "b"), (5000, "c"): ("b", "a"), (2, "zz"): ("a", "b"),
     }
+
+
+def test_counter_position(spark):
+    data = [(1, 2, 0, "a", 0, 0, 1, 1), (1, 2, 1, "b", 0, 9, 1, 10), (1, 5000, 0, "c", 0, 0, 1, 1)]
+    index = annotations.annot_index(spark.createDataFrame(data, ANNOTS))
+    places = [(1, 0, None), (1, 2, None), (1, 2, "b"), (1, 2, ""), (1, 2, "zz"), (1, 7, "c"), (2, 0, None)]
+    at = annotations.annot_position(index, spark.createDataFrame(places, "doc_id bigint, page_no int, group_id string"))
+    got = {(r.doc_id, r.page_no, r.group_id): (r.position, r.total) for r in at.collect()}
+    assert got == {
+        (1, 0, None): (0, 3), (1, 2, None): (1, 3), (1, 2, "b"): (2, 3), (1, 2, ""): (1, 3), (1, 2, "zz"): (0, 3),
+        (1, 7, "c"): (3, 3), (2, 0, None): (0, 0),
+    }
