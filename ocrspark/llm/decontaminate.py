@@ -1,33 +1,39 @@
-"""Benchmark passages in training texts: rare n-gram seeds, then local alignment of words.
-
-Seeds are word n-grams of a test item that are rare in the corpus, judged against the item's own
-n-grams: an n-gram found in far more documents than the median one of its item is no seed. An
-item that leaked into very many documents keeps its seeds, as all its n-grams are then frequent.
-A Bloom filter of fixed size keeps other n-grams of the texts out of the join; what it lets
-through by mistake finds no partner there. Seeds place a window of the text against an item, and
-Smith-Waterman alignment of the words scores it, so that edited copies are found too.
+"""Benchmark passages in training texts: every place that can reach the threshold, then local alignment of words.
+
+Two equal words that follow each other in an alignment are neighbours, or words one place apart, in item
+and text, or at least two words are skipped or replaced between them. The first kind adds 2 or 1 to the
+score, the second nothing. So an alignment that reaches the threshold holds a known number of equal pairs
+of words, and they lie on near offsets. Each text is looked up in an index of the pairs of the items, and
+the places that hold enough of them are aligned by Smith-Waterman: no pair of text and item is missed,
+however common its words are and however it was edited, and a frequent pair makes no rows.
+
+The index goes to the tasks in parts of bounded size, one pass over the texts each; a test set of a million
+words is one part. Texts are not shuffled and need no id.
 """
 
 from __future__ import annotations
 
 import string
-from functools import partial
+from dataclasses import dataclass
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ocrspark.llm import shingles
-from ocrspark.llm.common import U64, rows_of, same, session, slices, stored, word_codes
+from ocrspark.llm.common import U64, session, slices, stored, word_codes
 
-#: Words in a seed, bits of the filter of benchmark n-grams (1 MB), words of one filter row.
-SEED_WORDS, FILTER_BITS = 3, 1 << 23
-#: An n-gram in more than this many times the documents of its item's median n-gram is no seed.
-COMMON = 4
+#: Items of fewer words are looked for as a whole.
+SEED_WORDS = 3
+#: Words of the items in one part of the index, so that a part takes some 40 MB.
+PART_WORDS = 1 << 20
+#: Bits of the filter of pairs for each pair in the index.
+FILTER_RATIO = 16
 #: Alignment scores of an equal word, a different word and a skipped word.
 MATCH, MISMATCH, GAP = 2, -1, -1
-#: Cells aligned at once.
-CELLS = 1 << 18
+#: Cells aligned at once, and places looked up at once.
+CELLS, PLACES = 1 << 18, 1 << 20
 
 
 def _hashes(text: pa.Array) -> tuple[list[int], np.ndarray]:
@@ -37,45 +43,151 @@ def _hashes(text: pa.Array) -> tuple[list[int], np.ndarray]:
     return ends.tolist(), shingles.word_hashes(bare)[codes] if len(codes) else np.zeros(0, U64)
 
 
-def _items(batches, n: int):
+def _pairs(words: np.ndarray, apart: int) -> np.ndarray:
+    """Hashes of the pairs of words that lie ``apart`` places from each other."""
+    return words[:-apart] * shingles.STEP + words[apart:]
+
+
+def _items(batches):
     for batch in batches:
         ends, hashes = _hashes(batch.column("text"))
-        cols = [batch.column("item").take(pa.array(range(batch.num_rows))), [], []]
-        for a, b in zip(ends[:-1], ends[1:]):
-            cols[1].append(hashes[a:b].tobytes())
-            cols[2].append(shingles.windows(hashes[a:b], n).view(np.int64))
-        yield pa.RecordBatch.from_arrays(
-            [cols[0], pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.list_(pa.int64()))], ["item", "words", "grams"]
-        )
-
-
-def _hits(batches, n: int, lengths, bitmap):
-    """Distinct n-grams of each text that may belong to an item, with their places."""
-    bits = bitmap.value
-    for whole in batches:
-        for batch in slices(whole, "text"):
-            ends, hashes = _hashes(batch.column("text"))
-            ids = batch.column("id").to_pylist()
-            owners, grams, places = [], [], []
-            for width in lengths:
-                every = shingles.windows(hashes, width) if len(hashes) >= width else hashes[:0]
-                at = (every % U64(FILTER_BITS)).astype(np.int64)
-                hit = np.flatnonzero(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1)
-                doc = np.searchsorted(ends, hit, "right") - 1
-                inside = hit + width <= np.asarray(ends)[doc + 1] if len(hit) else hit.astype(bool)
-                hit, doc = hit[inside], doc[inside]
-                order = np.lexsort((hit, every[hit], doc))
-                hit, doc = hit[order], doc[order]
-                gram = every[hit]
-                cuts = np.flatnonzero(np.r_[True, (gram[1:] != gram[:-1]) | (doc[1:] != doc[:-1])]) if len(hit) else hit
-                for s, e in zip(cuts.tolist(), np.r_[cuts[1:], len(hit)].tolist()):
-                    owners.append(ids[doc[s]])
-                    grams.append(int(gram[s].view(np.int64)))
-                    places.append(hit[s:e] - ends[doc[s]])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(owners, pa.int64()), pa.array(grams, pa.int64()), pa.array(places, pa.list_(pa.int64()))],
-                ["id", "gram", "places"],
-            )
+        words = [hashes[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])]
+        yield pa.RecordBatch.from_arrays([batch.column("item"), pa.array(words, pa.binary())], ["item", "words"])
+
+
+@dataclass
+class Index:
+    """Items and the places of their pairs of words, ordered by the hash of the pair."""
+
+    ids: np.ndarray
+    words: list[np.ndarray]
+    size: np.ndarray
+    #: Offsets that an alignment of the item can spread over, and what its pairs have to add up to.
+    spread: np.ndarray
+    need: np.ndarray
+    grams: np.ndarray
+    #: Where the places of each pair start; item, word and whether the two words are neighbours.
+    starts: np.ndarray
+    item: np.ndarray
+    at: np.ndarray
+    close: np.ndarray
+    bits: np.ndarray
+
+
+def index(ids: list[int], words: list[np.ndarray], n: int, threshold: float) -> Index:
+    """The index of items with at least one word each.
+
+    An alignment of m equal words that costs c scores 2m - c, which must reach t = 2 * threshold * size.
+    The m - 1 pairs of words that follow each other add 2, 1 or at most 0, so those that add
+    something come to t - 2 at least; and c is 2m - t at most, by which its offsets differ.
+    """
+    size = np.array([len(w) for w in words], np.int64)
+    target = MATCH * threshold * size
+    parts = []
+    for k, w in enumerate(words):
+        if len(w) < n:
+            whole = shingles.windows(w, n)
+            parts.append((whole, np.full(1, k), np.zeros(1, np.int64), np.ones(1, bool)))
+            continue
+        for apart in (1, 2):
+            pairs = _pairs(w, apart)
+            parts.append((pairs, np.full(len(pairs), k), np.arange(len(pairs)), np.full(len(pairs), apart == 1)))
+    gram, item, at, close = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(gram, kind="stable")
+    gram, starts = np.unique(gram[order], return_index=True)
+    bits = 1 << max(16, int(FILTER_RATIO * len(gram)).bit_length())
+    bitmap = np.zeros(bits // 8, np.uint8)
+    spot = gram & U64(bits - 1)
+    np.bitwise_or.at(bitmap, (spot >> U64(3)).astype(np.int64), np.uint8(1) << (spot & U64(7)).astype(np.uint8))
+    return Index(
+        np.array(ids, np.int64), words, size, np.maximum(1, np.floor(MATCH * size - target + 1e-9)).astype(np.int64),
+        np.where(size < n, 1, np.maximum(1, np.ceil(target - MATCH - 1e-9))).astype(np.int64),
+        gram, np.r_[starts, len(item)], item[order].astype(np.int32), at[order].astype(np.int32), close[order], bitmap,
+    )
+
+
+def _known(x: Index, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of pairs that the index has, and their numbers there."""
+    spot = gram & U64(8 * len(x.bits) - 1)
+    hit = np.flatnonzero(x.bits[(spot >> U64(3)).astype(np.int64)] >> (spot & U64(7)).astype(np.uint8) & 1)
+    number = np.minimum(np.searchsorted(x.grams, gram[hit]), len(x.grams) - 1)
+    real = x.grams[number] == gram[hit]
+    return hit[real], number[real]
+
+
+def _found(x: Index, ends: np.ndarray, hashes: np.ndarray, n: int):
+    """Words, numbers in the index and closeness of all its pairs in the texts, in the order of words."""
+    doc_end = np.repeat(ends[1:], np.diff(ends))
+    out = []
+    for apart in (1, 2):
+        hit, number = _known(x, _pairs(hashes, apart))
+        inside = hit + apart < doc_end[hit]
+        out.append((hit[inside], number[inside], np.full(int(inside.sum()), apart == 1)))
+    for width in np.unique(x.size[x.size < n]).tolist():
+        if len(hashes) >= width:
+            hit, number = _known(x, shingles.windows(hashes, width))
+            inside = hit + width <= doc_end[hit]
+            out.append((hit[inside], number[inside], np.ones(int(inside.sum()), bool)))
+    hit, number, close = (np.concatenate(c) for c in zip(*out))
+    order = np.argsort(hit, kind="stable")
+    return hit[order], number[order], close[order]
+
+
+def _windows(x: Index, ends: np.ndarray, hashes: np.ndarray, n: int):
+    """``(text, item, first, last)``: stretches of offsets whose pairs can add up to an alignment.
+
+    Offsets are cut into stretches as wide as an alignment can spread, so it lies in two that
+    follow each other, named by the first. Pairs are looked up in overlapping spans of words.
+    """
+    hit, number, close = _found(x, ends, hashes, n)
+    many = np.r_[0, np.cumsum(x.starts[number + 1] - x.starts[number])]
+    overlap, base = int((x.size + x.spread).max()) + 2, int(x.size.max())
+    start = 0
+    while start < len(hit):
+        stop = int(np.searchsorted(many, many[start] + PLACES, "right")) - 1
+        stop = max(stop, int(np.searchsorted(hit, hit[start] + 2 * overlap)))
+        here = slice(start, stop)
+        count = x.starts[number[here] + 1] - x.starts[number[here]]
+        row = np.repeat(np.arange(start, stop), count)
+        entry = np.arange(len(row)) + np.repeat(x.starts[number[here]] - (np.cumsum(count) - count), count)
+        # what is left of an item of which a text has too little anywhere is most of all rows
+        doc = np.searchsorted(ends, hit[row], "right") - 1
+        item = x.item[entry].astype(np.int64)
+        weight = np.where(close[row] & x.close[entry], 2, 1)
+        first = int(doc[0]) if len(doc) else 0
+        pair = (doc - first) * len(x.ids) + item
+        if len(pair) and int(pair.max()) < 8 * len(pair) + (1 << 20):
+            total = np.bincount(pair, weight)[pair]
+        else:
+            _, back = np.unique(pair, return_inverse=True)
+            total = np.bincount(back, weight)[back]
+        left = total >= x.need[item]
+        row, entry, doc, item, weight, pair = (c[left] for c in (row, entry, doc, item, weight, pair))
+        if len(row):
+            at = x.at[entry].astype(np.int64)
+            stretch = (hit[row] - ends[doc] - at) // x.spread[item] + base + 1
+            wide = int(stretch.max()) + 2
+            key, back = np.unique(pair * wide + stretch, return_inverse=True)
+            # a word of the item counts once in a stretch, with its best pair
+            best = np.unique((back * base + at) * 2 + weight - 1)
+            best = best[np.r_[best[1:] >> 1 != best[:-1] >> 1, True]]
+            total = np.bincount(best // (2 * base), (best & 1) + 1, len(key))
+            able = np.unique(np.r_[key, key - 1])
+            sums = np.zeros(len(able))
+            sums[np.searchsorted(able, key)] += total
+            sums[np.searchsorted(able, key - 1)] += total
+            able = able[sums >= x.need[able // wide % len(x.ids)]]
+            last = None
+            for pair, stretch in zip((able // wide).tolist(), (able % wide - base - 1).tolist()):
+                if last and last[0] == pair and last[1] == last[2] == stretch - 1:
+                    last = (pair, last[1], stretch)
+                    continue
+                if last:
+                    yield first + last[0] // len(x.ids), last[0] % len(x.ids), last[1], last[2]
+                last = (pair, stretch, stretch)
+            if last:
+                yield first + last[0] // len(x.ids), last[0] % len(x.ids), last[1], last[2]
+        start = len(hit) if stop >= len(hit) else int(np.searchsorted(hit, hit[stop] - overlap))
 
 
 def align(items: list[np.ndarray], passages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -108,32 +220,32 @@ def align(items: list[np.ndarray], passages: list[np.ndarray]) -> tuple[np.ndarr
     return best, end
 
 
-def _aligned(batches):
-    """Score of every window of the texts against its item."""
+def _aligned(batches, shared, n: int, threshold: float):
+    """Scores of all places of the texts that reach the threshold."""
+    x = shared.value
     for whole in batches:
         for batch in slices(whole, "text"):
             ends, hashes = _hashes(batch.column("text"))
+            ids, ends = batch.column("id").to_pylist(), np.asarray(ends)
+            jobs = []
+            for doc, item, first, last in _windows(x, ends, hashes, n):
+                size, spread = int(x.size[item]), int(x.spread[item])
+                start = max(0, first * spread)
+                text = hashes[ends[doc] : ends[doc + 1]]
+                passage = text[start : (last + 2) * spread + size]
+                if len(passage):
+                    jobs.append((doc, item, passage, start))
+            jobs.sort(key=lambda j: len(j[2]))
             out = []
-            for k, (doc, windows) in enumerate(zip(batch.column("id").to_pylist(), batch.column("windows").to_pylist())):
-                text = hashes[ends[k] : ends[k + 1]]
-                jobs = []
-                for w in windows:
-                    item = np.frombuffer(w["words"], U64)
-                    slack = len(item) // 2 + 1
-                    start = max(0, w["stretch"] * len(item) - slack)
-                    passage = text[start : (w["stretch"] + 2) * len(item) + slack]
-                    if len(passage):
-                        jobs.append((w["item"], item, passage, start))
-                jobs.sort(key=lambda j: len(j[1]))
-                while jobs:
-                    n = max(1, CELLS // (4 * len(jobs[-1][1])))
-                    part, jobs = jobs[-n:], jobs[:-n]
-                    score, end = align([j[1] for j in part], [j[2] for j in part])
-                    out += [
-                        (doc, j[0], float(s) / (MATCH * len(j[1])), j[3] + int(e))
-                        for j, s, e in zip(part, score.tolist(), end.tolist())
-                    ]
-            cols = list(zip(*out)) or [[]] * 4
+            while jobs:
+                k = max(1, CELLS // len(jobs[-1][2]) // 4)
+                part, jobs = jobs[-k:], jobs[:-k]
+                score, end = align([x.words[j[1]] for j in part], [j[2] for j in part])
+                out += [
+                    (ids[j[0]], int(x.ids[j[1]]), s / (MATCH * int(x.size[j[1]])), j[3] + e)
+                    for j, s, e in zip(part, score.tolist(), end.tolist())
+                ]
+            cols = list(zip(*[o for o in out if o[2] >= threshold])) or [[]] * 4
             yield pa.RecordBatch.from_arrays(
                 [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()),
                  pa.array(cols[3], pa.int64())],
@@ -151,8 +263,11 @@ def contaminated(
     the item with itself: 1 for a full copy. Rows reach ``threshold``; ``last_word`` is the
     text's word (from 0) at which the best alignment ends.
 
-    - Null and blank texts and items align with nothing. An item of fewer than ``n`` words is one
-      seed. Words are compared without case of A-Z and without punctuation at their ends.
+    - Every pair that reaches ``threshold`` is found, whatever its edits. Only an item of fewer than ``n``
+      words is looked for as a whole, and one so short that a single equal word would do (at most
+      ``1 / threshold`` words) needs a pair of equal words.
+    - Null and blank texts and items align with nothing. Words are compared without case of A-Z and
+      without punctuation at their ends.
     - Rows that share an id are one document and count with their best score; documents with a
       null id come back as one row per item with a null id.
     - Equal items are each found. Items with one id count with their best score; items with a
@@ -164,51 +279,21 @@ def contaminated(
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     tests = items.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text"))
     bench = stored(
-        tests.where("item is not null")
-        .mapInArrow(partial(_items, n=n), "item long, words binary, grams array<long>").where("octet_length(words) > 0"),
-        "items",
-    )
-    grams = bench.select("item", "words", F.posexplode("grams").alias("at", "gram"))
-    spot = F.pmod(F.expr(f"pmod(gram, {FILTER_BITS})"), F.lit(FILTER_BITS))
-    places = grams.select(
-        # an unsigned remainder equals the signed one, as the size is a power of two
-        F.bitmap_bucket_number(spot + 1).alias("bucket"), F.bitmap_bit_position(spot + 1).alias("bit")
-    ).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
-    bitmap = np.zeros(FILTER_BITS // 8, np.uint8)
-    for row in places.collect():  # at most FILTER_BITS / 32768 rows of 4 KB
-        part = np.frombuffer(row.bits, np.uint8)
-        bitmap[(row.bucket - 1) * len(part) : row.bucket * len(part)] = part
-    widths = F.least(F.expr("octet_length(words) div 8"), F.lit(n))
-    lengths = sorted(r[0] for r in bench.select(widths.alias("w")).distinct().collect())
-    hits = stored(
-        texts.mapInArrow(
-            partial(_hits, n=n, lengths=lengths, bitmap=spark.sparkContext.broadcast(bitmap)),
-            "id long, gram long, places array<long>",
-        ), "hits",
-    )
-    known = stored(grams.select("gram").distinct(), "grams")
-    spread_ = stored(
-        hits.groupBy("gram").agg(F.count("*").alias("docs")).join(known, "gram"), "gram-counts"
-    )
-    counted = grams.join(spread_, "gram")
-    median = counted.select("item", "gram", "docs").distinct().groupBy("item").agg(F.median("docs").alias("median"))
-    seeds = stored(
-        counted.join(median, "item").where(F.col("docs") <= COMMON * F.col("median"))
-        .select("gram", "item", "at", F.expr("octet_length(words) div 8").alias("size")), "seeds",
-    )
-    placed = hits.join(seeds, "gram").select("id", "item", "size", "at", F.explode("places").alias("place"))
-    windows = stored(
-        placed.select("id", "item", F.floor((F.col("place") - F.col("at")) / F.col("size")).alias("stretch")).distinct(),
-        "windows",
-    )
-    per_doc = stored(
-        windows.join(bench.select("item", "words"), "item")
-        .groupBy("id").agg(F.collect_list(F.struct("item", "stretch", "words")).alias("windows")), "document-windows",
+        tests.where("item is not null").mapInArrow(_items, "item long, words binary").where("octet_length(words) > 0")
+        .distinct(), "items",
     )
-    # one plan at every size: what is broadcast for few texts would be shuffled for many
-    joined = texts.join(per_doc.hint("merge"), same(texts, per_doc, "id")).select(texts["id"], "text", "windows")
-    scored = joined.mapInArrow(_aligned, "id long, item long, score double, last_word long")
-    best = scored.where(F.col("score") >= threshold).groupBy("id", "item").agg(
+    total = bench.agg(F.sum(F.octet_length("words"))).first()[0] or 0
+    parts = -(-total // (8 * PART_WORDS))
+    schema, passes = "id long, item long, score double, last_word long", []
+    n = max(n, 2)  # one word has no pair
+    for k in range(parts):
+        rows = bench.where(F.pmod(F.xxhash64("item", "words"), F.lit(parts)) == k).collect()  # one part, see PART_WORDS
+        if rows:
+            part = index([r.item for r in rows], [np.frombuffer(r.words, U64) for r in rows], n, threshold)
+            scan = partial(_aligned, shared=spark.sparkContext.broadcast(part), n=n, threshold=threshold)
+            passes.append(texts.mapInArrow(scan, schema))
+    scored = reduce(DataFrame.unionAll, passes) if passes else spark.createDataFrame([], schema)
+    best = scored.groupBy("id", "item").agg(
         F.max(F.struct("score", (-F.col("last_word")).alias("back"))).alias("best")
     )
     return best.select(

@@ -138,6 +138,32 @@ def test_benchmark(spark):
     assert {(r.doc_id, r.item_id): r.score for r in found} == pytest.approx(want)
 
 
+def check_leaks(spark, texts, items):
+    found = decontaminate.contaminated(
+        spark.createDataFrame([(k, " ".join(t)) for k, t in texts.items()], "doc_id long, text string"),
+        spark.createDataFrame([(k, " ".join(t)) for k, t in items.items()], "item_id long, text string"),
+    ).collect()
+    scores = {(d, i): best_alignment(items[i], texts[d]) for d, i in itertools.product(texts, items)}
+    want = {pair: score for pair, score in scores.items() if score >= 0.5}
+    assert {(r.doc_id, r.item_id): r.score for r in found} == pytest.approx(want)
+    return want
+
+
+def test_benchmark_same_edits_in_many_texts(spark):
+    """A copy that is edited alike in many texts is found beside a single verbatim one."""
+    rng = random.Random(11)
+    item = [f"q{k}" for k in range(40)]
+    edited = [f"e{k}" if k % 4 == 1 else w for k, w in enumerate(item)]
+    texts = {}
+    for k in range(13):
+        text = [f"f{rng.randrange(10**6)}" for _ in range(60)]
+        at = rng.randrange(len(text))
+        text[at:at] = item if k == 0 else edited
+        texts[k] = text
+    want = check_leaks(spark, texts, {1: item})
+    assert len(want) == 13 and sorted(want.values())[0] == 0.625
+
+
 def test_align_table():
     rng = np.random.default_rng(3)
     items = [rng.integers(0, 6, n).astype(np.uint64) for n in (1, 4, 9, 30)]
