@@ -4,9 +4,11 @@ import hashlib
 import itertools
 import random
 import string
+import types
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -164,6 +166,51 @@ def test_benchmark_same_edits_in_many_texts(spark):
     assert len(want) == 13 and sorted(want.values())[0] == 0.625
 
 
+def test_benchmark_without_intact_runs(spark):
+    """Copies that share no three words, or no two, in a row with the item reach the threshold too."""
+    rng = random.Random(13)
+    item = [f"q{k}" for k in range(36)]
+    copies = [
+        [x for k, w in enumerate(item) for x in ([w, f"e{k}"] if k % 2 else [w])],
+        [x for k, w in enumerate(item) for x in (w, f"e{k}")],
+        [f"e{k}" if k % 3 == 1 else w for k, w in enumerate(item)],
+        [w for k, w in enumerate(item) if k % 3 != 1],
+        [f"e{k}" if k % 3 == 2 else w for k, w in enumerate(item) if k % 7],
+    ]
+    texts = {}
+    for k, copy in enumerate(copies * 2):
+        text = [f"f{rng.randrange(10**6)}" for _ in range(30 + 11 * k)]
+        at = rng.randrange(len(text))
+        text[at:at] = copy
+        texts[k] = text
+    want = check_leaks(spark, texts, {1: item})
+    assert {k for k, _ in want} == {0, 1, 2, 3, 5, 6, 7, 8}
+
+
+@pytest.mark.parametrize("places", [64, 1 << 20])
+def test_benchmark_of_few_words(monkeypatch, places):
+    """Items and texts over so few words that every pair is frequent, looked up whole and in spans."""
+    monkeypatch.setattr(decontaminate, "PLACES", places)
+    rng = random.Random(17)
+    items = [[f"w{rng.randrange(30)}" for _ in range(rng.randrange(3, 24))] for _ in range(30)]
+    texts = [[f"w{rng.randrange(30)}" for _ in range(rng.randrange(0, 160))] for _ in range(40)]
+    for text in texts:
+        copy = [w if rng.random() < 0.8 else rng.choice(["x", f"w{rng.randrange(30)}"]) for w in rng.choice(items)]
+        at = rng.randrange(len(text) + 1)
+        text[at:at] = [x for w in copy for x in rng.choice([[w], [w], [w, "y"]])]
+    words = [np.array(decontaminate._hashes(pa.array([" ".join(i)]))[1]) for i in items]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array([" ".join(t) for t in texts])], ["id", "text"])
+    for threshold in (0.5, 0.7):
+        shared = types.SimpleNamespace(value=decontaminate.index(list(range(len(items))), words, 3, threshold))
+        got = {}
+        for out in decontaminate._aligned([batch], shared, 3, threshold):
+            for r in out.to_pylist():
+                got[r["id"], r["item"]] = max(r["score"], got.get((r["id"], r["item"]), 0))
+        scores = {(d, i): best_alignment(items[i], t) for d, t in enumerate(texts) for i in range(len(items))}
+        want = {pair: score for pair, score in scores.items() if score >= threshold}
+        assert len(want) >= 5 and got == pytest.approx(want)
+
+
 def test_align_table():
     rng = np.random.default_rng(3)
     items = [rng.integers(0, 6, n).astype(np.uint64) for n in (1, 4, 9, 30)]
