@@ -61,6 +61,11 @@ def same(left: DataFrame, right: DataFrame, *names: str) -> Column:
     return cond
 
 
+def text_prints(key: Column, text: Column) -> tuple[Column, Column]:
+    """128-bit print of the text of a row without an id, which tells it from others; null where there is an id."""
+    return tuple(F.when(key.isNull(), h) for h in (F.xxhash64(text), F.xxhash64(F.lit(1), text)))
+
+
 def widened(df: DataFrame, **columns: str) -> T.StructType:
     """The schema of ``df`` with more columns."""
     more = [T.StructField(name, T.DataType.fromDDL(kind)) for name, kind in columns.items()]

@@ -19,10 +19,10 @@ from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from ocrspark.llm import shingles
-from ocrspark.llm.common import U64, session, slices, stored, word_codes
+from ocrspark.llm.common import U64, session, slices, stored, text_prints, word_codes
 
 #: Items of fewer words are looked for as a whole.
 SEED_WORDS = 3
@@ -247,7 +247,7 @@ def _aligned(batches, shared, n: int, threshold: float):
                 ]
             cols = list(zip(*[o for o in out if o[2] >= threshold])) or [[]] * 4
             yield pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()),
+                [pa.array(cols[0], batch.column("id").type), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()),
                  pa.array(cols[3], pa.int64())],
                 ["id", "item", "score", "last_word"],
             )
@@ -275,8 +275,35 @@ def contaminated(
     - Texts of any length are handled whole, other columns are ignored, and an empty table on
       either side gives an empty result.
     """
-    spark = session(df.sparkSession)
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    best = _scores(texts, items, item_col, item_text_col, n, threshold).groupBy("id", "item").agg(
+        F.max(F.struct("score", (-F.col("last_word")).alias("back"))).alias("best")
+    )
+    return best.select(
+        F.col("id").alias(id_col), F.col("item").alias(item_col), F.col("best.score").alias("score"),
+        (-F.col("best.back")).alias("last_word"),
+    )
+
+
+def leaks(
+    df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
+    item_text_col: str = "text", n: int = SEED_WORDS, threshold: float = 0.5,
+) -> DataFrame:
+    """``(id, t1, t2)`` of the rows of ``df`` that align with an item, as in :func:`contaminated`.
+
+    A row without an id is told from others by the print of its text (see ``text_prints``).
+    """
+    key, text = F.col(id_col).cast("long"), F.col(text_col)
+    t1, t2 = text_prints(key, text)
+    texts = df.select(F.struct(key.alias("id"), t1.alias("t1"), t2.alias("t2")).alias("id"), text.alias("text"))
+    return _scores(texts, items, item_col, item_text_col, n, threshold).select("id.id", "id.t1", "id.t2").distinct()
+
+
+def _scores(
+    texts: DataFrame, items: DataFrame, item_col: str, item_text_col: str, n: int, threshold: float
+) -> DataFrame:
+    """``(id, item, score, last_word)`` of all places of ``(id, text)`` that reach ``threshold``; any type of id."""
+    spark = session(texts.sparkSession)
     tests = items.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text"))
     bench = stored(
         tests.where("item is not null").mapInArrow(_items, "item long, words binary").where("octet_length(words) > 0")
@@ -284,7 +311,8 @@ def contaminated(
     )
     total = bench.agg(F.sum(F.octet_length("words"))).first()[0] or 0
     parts = -(-total // (8 * PART_WORDS))
-    schema, passes = "id long, item long, score double, last_word long", []
+    schema = T.StructType.fromDDL("item long, score double, last_word long")
+    schema, passes = T.StructType([T.StructField("id", texts.schema["id"].dataType), *schema.fields]), []
     n = max(n, 2)  # one word has no pair
     for k in range(parts):
         rows = bench.where(F.pmod(F.xxhash64("item", "words"), F.lit(parts)) == k).collect()  # one part, see PART_WORDS
@@ -292,11 +320,4 @@ def contaminated(
             part = index([r.item for r in rows], [np.frombuffer(r.words, U64) for r in rows], n, threshold)
             scan = partial(_aligned, shared=spark.sparkContext.broadcast(part), n=n, threshold=threshold)
             passes.append(texts.mapInArrow(scan, schema))
-    scored = reduce(DataFrame.unionAll, passes) if passes else spark.createDataFrame([], schema)
-    best = scored.groupBy("id", "item").agg(
-        F.max(F.struct("score", (-F.col("last_word")).alias("back"))).alias("best")
-    )
-    return best.select(
-        F.col("id").alias(id_col), F.col("item").alias(item_col), F.col("best.score").alias("score"),
-        (-F.col("best.back")).alias("last_word"),
-    )
+    return reduce(DataFrame.unionAll, passes) if passes else spark.createDataFrame([], schema)

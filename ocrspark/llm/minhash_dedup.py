@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ocrspark.llm import groups, shingles
-from ocrspark.llm.common import U64, binary_rows, mix, rows_of, same, session, slices, stored
+from ocrspark.llm.common import U64, binary_rows, mix, rows_of, same, session, slices, stored, text_prints
 from ocrspark.llm.components import connected_components
 
 #: Bands of four samples: a pair at 0.75 shares none with probability 5e-6.
@@ -86,11 +86,11 @@ def _signed(batches, n: int):
                 bands = mix(bands * shingles.STEP + samples[:, j::PER_BAND] + U64(j))
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("id"), pa.array([len(s) for s in sets], pa.int64()),
+                    batch.column("id"), batch.column("t1"), batch.column("t2"), pa.array([len(s) for s in sets], pa.int64()),
                     pa.array(prints[:, 0].view(np.int64)), pa.array(prints[:, 1].view(np.int64)),
                     binary_rows(odd_sketches(samples)), pa.array(list(bands.view(np.int64)), pa.list_(pa.int64())),
                 ],
-                ["id", "n", "p1", "p2", "sketch", "bands"],
+                ["id", "t1", "t2", "n", "p1", "p2", "sketch", "bands"],
             )
 
 
@@ -214,21 +214,49 @@ def near_duplicates(
     - ``component_id`` is the least id that is not null in a component, ``kept`` marks rows with
       that id; a text without shingles is its own component. Rows that share an id are one
       document: all or none of them are kept. A row with a null id gets the component of the
-      texts it links with, and a null component, kept, when it has no partner with an id.
+      texts it links with, and a null component, kept, when it has no partner with an id
+      (:func:`copies` tells such rows apart).
     - Texts of any length are handled whole. Other columns are ignored; an empty table gives an
       empty result.
     """
+    out = _components(df, id_col, text_col, n, percent, block)
+    return out.select(
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id",
+        F.col("id").eqNullSafe(F.col("component_id")).alias("kept"),
+    )
+
+
+def copies(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75, block: int = 512
+) -> DataFrame:
+    """``(id, t1, t2)`` of the rows of ``df`` to drop, so that each component keeps one document.
+
+    The document with the least id stays, and in a component without any id the text whose print
+    (``t1``, ``t2``, see ``text_prints``) is least. Equal texts without an id have one print, so
+    they are dropped or kept together.
+    """
+    out = _components(df, id_col, text_col, n, percent, block)
+    stays = F.when(F.col("component_id").isNull(), F.col("t1").eqNullSafe(F.col("least_t1"))).otherwise(
+        F.col("id").eqNullSafe(F.col("component_id"))
+    )
+    return out.where("n > 0").where(~stays).select("id", "t1", "t2").distinct()
+
+
+def _components(df: DataFrame, id_col: str, text_col: str, n: int, percent: int, block: int) -> DataFrame:
+    """``(id, t1, t2, n, component_id, least_t1)`` of every row, with the print of texts without an id."""
     spark = session(df.sparkSession)
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    t1, t2 = text_prints(F.col("id"), F.col("text"))
+    texts = texts.select("id", t1.alias("t1"), t2.alias("t2"), "text")
     signed = stored(
         texts.mapInArrow(
-            partial(_signed, n=n), "id long, n long, p1 long, p2 long, sketch binary, bands array<long>"
+            partial(_signed, n=n), "id long, t1 long, t2 long, n long, p1 long, p2 long, sketch binary, bands array<long>"
         ), "signed",
     )
     classes = stored(
         signed.where("n > 0").groupBy("p1", "p2")
-        .agg(F.min("id").alias("id"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
+        .agg(F.min("id").alias("id"), F.min("t1").alias("t1"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
         .select(F.monotonically_increasing_id().alias("node"), "*"), "classes",
     )
     keys = classes.select(F.posexplode("bands").alias("band", "code"), "node")
@@ -236,9 +264,11 @@ def near_duplicates(
         groups.units(keys, ["band", "code"], block, "bands").select("unit", "across", "home", "node"), "meetings"
     )
     most = most_differing(percent / 100)
-    nodes = stored(met.select("node").distinct().join(classes.select("node", "id", "p1", "p2"), "node"), "met")
+    # a text is found by its id or, in a class without one, by its print: null ids do not all meet
+    told = F.when(F.col("id").isNull(), F.col("t1")).alias("t1")
+    nodes = stored(met.select("node").distinct().join(classes.select("node", "id", told, "p1", "p2"), "node"), "met")
     # one plan at every size: what is broadcast for few texts would be shuffled for many
-    wanted = texts.join(nodes.hint("merge"), same(texts, nodes, "id")).select("node", "p1", "p2", "text")
+    wanted = texts.join(nodes.hint("merge"), same(texts, nodes, "id", "t1")).select("node", "p1", "p2", "text")
     found = stored(
         wanted.mapInArrow(partial(_sets, n=n), "node long, shingles array<long>").dropDuplicates(["node"]), "sets"
     )
@@ -269,15 +299,13 @@ def near_duplicates(
     # the parts found so far are links too, and fewer than those they came from
     joined = parts.select(F.col("node").alias("a"), F.col("part").alias("b")).unionAll(late)
     parts = stored(connected_components(joined).withColumnRenamed("component", "part"), "late-parts")
-    placed = classes.select("node", "id", "p1", "p2").join(parts, "node", "left")
+    placed = classes.select("node", "id", "t1", "p1", "p2").join(parts, "node", "left")
     placed = stored(placed.withColumn("part", F.coalesce("part", "node")), "placed")
-    least = stored(placed.groupBy("part").agg(F.min("id").alias("component_id")), "least")
-    named = stored(placed.join(least, "part").select("p1", "p2", "component_id"), "named")
-    full, bare = signed.where("n > 0"), signed.where("n = 0")
-    out = full.join(named, ["p1", "p2"]).select("id", "n", "component_id").unionAll(
-        bare.select("id", "n", F.col("id").alias("component_id"))
+    least = stored(
+        placed.groupBy("part").agg(F.min("id").alias("component_id"), F.min("t1").alias("least_t1")), "least"
     )
-    return out.select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id",
-        F.col("id").eqNullSafe(F.col("component_id")).alias("kept"),
+    named = stored(placed.join(least, "part").select("p1", "p2", "component_id", "least_t1"), "named")
+    full, bare = signed.where("n > 0"), signed.where("n = 0")
+    return full.join(named, ["p1", "p2"]).select("id", "t1", "t2", "n", "component_id", "least_t1").unionAll(
+        bare.select("id", "t1", "t2", "n", F.col("id").alias("component_id"), F.col("t1").alias("least_t1"))
     )

@@ -160,3 +160,23 @@ def test_stages(spark, docs, empty, tmp_path):
             assert out.columns == columns
             assert stage(spark, out, str(tmp_path)).count() <= now.count()
     assert not empty or out.count() == 0
+
+
+def test_stages_without_ids(spark, tmp_path):
+    """Rows without an id are documents of their own in the stages that drop by id."""
+    item = " ".join(f"v{k}" for k in range(20))
+    other = " ".join(f"u{k}" for k in range(40))
+    texts = [
+        (1, WORDS), (None, WORDS), (None, WORDS + " more"), (None, other), (None, other), (None, other + " more"), (None, None),
+        (None, None), (None, " "), (None, "clean " + WORDS[:60]), (None, "leak " + item), (2, LONG[:200] + " " + item), (3, "fine text"),
+        (3, "fine text"),
+    ]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.drop_copies(spark, df, str(tmp_path)).collect()]
+    assert len([t for _, t in got if t and t.startswith("u0")]) == 1
+    assert sorted((r for r in got if not (r[1] or "").startswith("u0")), key=repr) == sorted(
+        [(1, WORDS), (None, None), (None, None), (None, " "), *texts[9:]], key=repr
+    )
+    left = [(r.doc_id, r.text) for r in corpus_pipeline.drop_benchmark(spark, df, str(tmp_path)).collect()]
+    assert sorted(left, key=repr) == sorted([t for t in texts if item not in (t[1] or "")], key=repr)
