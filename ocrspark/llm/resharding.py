@@ -3,8 +3,8 @@
 Documents lie in old shards and, within them, in blocks by hash. Only the table of blocks, whose
 size is a parameter, reaches the driver. There a flow from old shards to the capacities of the
 new ones is solved in which a byte that stays costs nothing and a byte that moves costs one;
-blocks are then chosen to carry the flows. Rows follow their block, and the files of shards that
-win or lose a block are written anew.
+blocks are then chosen to carry the flows. Rows follow their block. Every shard is written anew:
+keeping the files of shards that win or lose no block (``Plan.affected``) is not built.
 """
 
 from __future__ import annotations
