@@ -138,7 +138,8 @@ def reshard(
     checksums.
 
     - A null text has no bytes; every row counts 8 bytes besides. Sizes differ by about one block, or
-      by one row where rows are larger than that.
+      by one row where rows are larger than that. Rows equal in id and checksum are one block of
+      each old shard and are not split, so many of them can make a shard larger than the others.
     - Rows with a null id and repeated rows are rows like others; which of two equal rows comes
       first is not defined, as they cannot be told apart.
     - Columns named ``shard`` or ``slot`` are replaced, others pass through. An empty table is
