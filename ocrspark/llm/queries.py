@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ocrspark.llm import (
-    bpe, chat_format, decontaminate, embedding_dedup, line_dedup, minhash_dedup, quality, resharding, toxicity, warc,
+    bpe, centroid_clusters, chat_format, decontaminate, embedding_dedup, line_dedup, minhash_dedup, pivot_search, quality,
+    resharding, spelling, toxicity, warc,
 )
 from ocrspark.llm.common import in_fifths, table
 from ocrspark.session import scratch_dir
@@ -130,3 +131,63 @@ def _(s, p):
         F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).alias("text_crc32"),
         F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+#: Whole components of the vectors of full length, as DuckDB expressions over ``embedding``.
+WHOLE_SQL = "list_transform(embedding, lambda x: floor(1024 * x::double)::bigint)"
+USABLE_SQL = "embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0"
+
+
+def _rounds_sql(k: int, rounds: int, seed: int) -> str:
+    """Centroids and assignments of every round as chained tables."""
+    tables = [
+        f"v as materialized (select vec_id, {WHOLE_SQL} as v from embeddings where len(embedding) = 64 and {USABLE_SQL})",
+        f"""c0 as materialized (select row_number() over (order by sha256('{seed}:' || vec_id))::int - 1 as cluster, v as c
+            from v order by sha256('{seed}:' || vec_id) limit {k})""",
+    ]
+    for r in range(rounds + 1):
+        tables.append(
+            f"""a{r} as materialized (select vec_id, any_value(v) as v, min({{'d': d, 'c': cluster}}) as best from (
+                select vec_id, v, cluster, list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint as d
+                from v, c{r}) group by vec_id)"""
+        )
+        if r < rounds:
+            tables.append(
+                f"""m{r} as materialized (select cluster, list(x order by i) as c from (
+                    select best.c as cluster, i, ((sum(v[i]) - (sum(v[i]) % count(*) + count(*)) % count(*)) // count(*))::bigint as x
+                    from a{r}, range(1, 65) t(i) group by 1, 2) group by cluster),
+                c{r + 1} as materialized (select c{r}.cluster, coalesce(m{r}.c, c{r}.c) as c from c{r} left join m{r} using (cluster))"""
+            )
+    return f"""with {", ".join(tables)}
+        select vec_id, best.c as cluster, best.d as distance,
+               sum(best.d) over (partition by best.c)::bigint as cluster_inertia, sum(best.d) over ()::bigint as inertia,
+               sha256(list_aggregate(c, 'string_agg', ',')) as centroid_sha256
+        from a{rounds} join c{rounds} on cluster = best.c"""
+
+
+@register("op11_centroid_clusters", _rounds_sql(8, 10, 3))
+def _(s, p):
+    found = centroid_clusters.cluster(table(s, p, "embeddings"), k=8, rounds=10, dim=64, scale=1024, seed=3)
+    named = [(k, ",".join(map(str, c))) for k, c in enumerate(found.centroids)]
+    names = s.createDataFrame(named, "cluster int, name string").select("cluster", F.sha2("name", 256).alias("centroid_sha256"))
+    rows = centroid_clusters.inertia(found).join(F.broadcast(names), "cluster")
+    return rows.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+@register("op12_spelling")
+def _(s, p):
+    return spelling.variants(table(s, p, "documents"), least_length=5, least_count=3, one_in=97, times=2)
+
+
+@register(
+    "op13_pivot_search",
+    f"""with v as (select vec_id, row_number() over () as row, {WHOLE_SQL} as v from embeddings where {USABLE_SQL}),
+    scored as (
+        select q.vec_id as query_id, q.row, c.vec_id, list_dot_product(q.v::double[], c.v::double[])::bigint as score
+        from v q join v c on q.row <> c.row and len(q.v) = len(c.v) where q.vec_id % 100 = 0),
+    ranked as (select *, row_number() over (partition by query_id, row order by score desc, vec_id) as rank from scored)
+    select query_id, rank::int as rank, vec_id, score from ranked where rank <= 10""",
+)
+def _(s, p):
+    found = pivot_search.top_products(table(s, p, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1024)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
