@@ -261,7 +261,7 @@ def top_products(
     for r in classes.select("dim", "vec").orderBy(F.xxhash64("vec"), "dim").limit(sample_rows).collect():
         drawn[r.dim].append(r.vec)
     shared = {
-        dim: fit(np.array(drawn[dim], np.int64).reshape(-1, dim), top, pivots, rings) for dim, top in tops.items()
+        dim: fit(np.array(drawn[dim], np.int64).reshape(len(drawn[dim]), dim), top, pivots, rings) for dim, top in tops.items()
     }
     keyed = "dim int, vec array<bigint>, ids array<bigint>, pivot int, ring int, d double"
     indexed = stored(classes.mapInArrow(partial(_indexed, shared=spark.sparkContext.broadcast(shared)), keyed), "rings")
