@@ -13,8 +13,9 @@ from ocrspark.operators import (
 )
 from ocrspark.plans import derived as d
 from ocrspark.plans.oracle import query
-from ocrspark.session import scratch_dir, stack
-from ocrspark.sources import hocr, tables
+from ocrspark.operators.positions import prefix_sums
+from ocrspark.session import scratch_dir, stack, stored
+from ocrspark.sources import hocr, named, split, tables
 from ocrspark.streaming import edits as edit_stream, ingest, progress
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -190,6 +191,141 @@ def _(s, p):
     return batch.manifest(batch.parse_batch(_batch_input(s, p)), "txt")
 
 
+@register(
+    "s9_convert_text",
+    r"""select regexp_replace(file_name, '\.\w{1,6}$', '') || '.txt' as name,
+        string_agg(text, chr(10) order by page_no) as value from (
+          select doc_id, page_no, string_agg(text, chr(10) order by line_no) as text from (
+            select doc_id, page_no, line_no, string_agg(text, ' ' order by word_no) as text from gt group by all) group by all) t
+        join docs using (doc_id) where doc_id % 10 < 7 group by all""",
+)
+def _(s, p):
+    path = scratch_dir(s, "converted")
+    batch.convert(batch.parse_batch(_batch_input(s, p)), path, "txt")
+    files = s.read.text(path, wholetext=True)
+    return files.select(F.col("_metadata.file_name").alias("name"), "value")
+
+
+@register(
+    "s9_convert_hocr",
+    r"""select regexp_replace(file_name, '\.\w{1,6}$', '') || '.hocr' as name, doc_id, page_no::int as page_no,
+        (dense_rank() over (partition by doc_id, page_no order by line_no) - 1)::int as line_no,
+        (row_number() over (partition by doc_id, page_no, line_no order by word_no) - 1)::int as word_no,
+        word_id, text, conf, lang, par_lang, font, bold, italic, underline, size, l, t, r, b
+        from gt join (select doc_id, file_name from docs) using (doc_id) where doc_id % 10 < 7""",
+)
+def _(s, p):
+    path = scratch_dir(s, "converted")
+    batch.convert(batch.parse_batch(_batch_input(s, p)), path, "hocr")
+    docs = hocr.read_hocr(s, path).withColumn("doc_id", F.struct("file", "doc_id"))
+    return hocr.words(docs).select(
+        F.regexp_extract("doc_id.file", "([^/]*)$", 1).alias("name"), F.col("doc_id.doc_id").cast("long").alias("doc_id"),
+        "page_no", "line_no", "word_no", "word_id", "text", "conf", "lang", "par_lang", "font", "bold", "italic", "underline", "size", *pins.BOX,
+    )
+
+
+def _one_document(s, p) -> DataFrame:
+    """All words as one document: the pages of all documents in a row, numbered through."""
+    words = d.gt_words(s, p)
+    pages = words.select(F.lit(1).alias("one"), "doc_id", "page_no").distinct().withColumn("n", F.lit(1))
+    number = prefix_sums(pages, ["one"], ["doc_id", "page_no"], "n").select("doc_id", "page_no", F.col("before").cast("int").alias("at"))
+    numbered = words.join(number, list(pins.PAGE_KEY))
+    return numbered.withColumns({"page_no": F.col("at"), "doc_id": F.lit("all")}).drop("at")
+
+
+@register(
+    "s2_split_pages",
+    """select (dense_rank() over (order by doc_id, page_no) - 1)::int as page_no,
+       (dense_rank() over (partition by doc_id, page_no order by line_no) - 1)::int as line_no,
+       (row_number() over (partition by doc_id, page_no, line_no order by word_no) - 1)::int as word_no, word_id, text, par_lang, l, t, r, b from gt""",
+)
+def _(s, p):
+    path = scratch_dir(s, "large")
+    words = stored(_one_document(s, p), "one-document")
+    docs = words.select("doc_id").limit(1)
+    pieces = hocr.hocr_pieces(docs, words).withColumn("name", F.lit("all.hocr"))
+    named.write_named(pieces, path, ["piece"], sep="\n")
+    _, pages = split.read_hocr_pages(s, path)
+    return hocr.words(pages).select("page_no", "line_no", "word_no", "word_id", "text", "par_lang", *pins.BOX)
+
+
+def _nested_records(s, p) -> DataFrame:
+    """Documents with all levels: content areas, paragraphs with a language, lines, words, characters, head metadata."""
+    words = d.gt_words(s, p)
+    named_pars = words.withColumn("par_id", E("concat('par_', par_no)"))
+    lines = d.lines(words).withColumns({
+        "carea_id": E("concat('area_', par_no div 2)"), "par_id": E("concat('par_', par_no)"), "x_size": E("x_height * 2 + 0.5D"),
+        "x_descenders": E("x_height / 4D"), "x_ascenders": E("x_height / 2D"), "x_asc_height": E("x_height + 1D"),
+    })
+    langs = words.groupBy(*pins.LINE_KEY).agg(F.max("par_lang").alias("par_lang"))
+    lines = lines.join(langs, list(pins.LINE_KEY))
+    chars = d.with_chars(words).select(*pins.WORD_KEY, F.posexplode("chars").alias("char_no", "c"))
+    chars = chars.select(*pins.WORD_KEY, "char_no", E("(char_no % 100) + 0.5D").alias("conf"), "c.*")
+    docs = d.docs(s, p)
+    regions, cols = hocr.layout_json(d.regions(docs)), hocr.tables_json(d.table_cols(docs))
+    head = stack(
+        hocr.head_rows(regions), hocr.head_rows(cols),
+        hocr.head_rows(docs.select("doc_id", F.lit("Serif").alias("default_font"), _font_metrics().alias("font_metrics"))),
+    )
+    return hocr.hocr_records(named_pars, lines, d.pages(docs), chars=chars, head=head)
+
+
+def _font_metrics():
+    """One font per document with two glyphs, in the shape of the head metadata."""
+    style = "named_struct('width', map('65', doc_id % 7 + 0.5D), 'height', map('65', 1.5D), 'obs', cast(doc_id % 9 as int))"
+    return F.from_json(E(f"to_json(map('Serif', named_struct('normal', {style}, 'obs', 3)))"), hocr.FONT_METRICS_SCHEMA)
+
+
+@register(
+    "s7_nested_lines",
+    """select doc_id, page_no, (row_number() over (partition by doc_id, page_no order by line_no) - 1)::int as line_no,
+       'area_' || (par_no // 2) as carea_id, 'par_' || par_no as par_id, par_lang, l, t, r, b, slope, "offset"::double as "offset",
+       x_height * 2 + 0.5e0 as x_size, x_height / 4e0 as x_descenders, x_height / 2e0 as x_ascenders, x_height::double as x_x_height,
+       x_height + 1e0 as x_asc_height
+       from lines join (select doc_id, page_no, line_no, max(par_lang) as par_lang from gt group by all) using (doc_id, page_no, line_no)""",
+)
+def _(s, p):
+    lines = hocr.lines(_reparsed(_nested_records(s, p)))
+    return lines.withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
+@register(
+    "s7_nested_chars",
+    """select doc_id, page_no, (dense_rank() over (partition by doc_id, page_no order by line_no) - 1)::int as line_no,
+       (dense_rank() over (partition by doc_id, page_no, line_no order by word_no) - 1)::int as word_no, word_id,
+       (i - 1)::int as char_no, substr(text, i, 1) as ch, (i - 1) % 100 + 0.5e0 as conf, (l + (i - 1) * step)::int as l, t,
+       (l + i * step - n % 3)::int as r, (b - n % 5)::int as b
+       from (select *, length(text) as n, greatest((r - l) // length(text), 4) as step from gt) g, unnest(range(1, n + 1)) x(i)""",
+)
+def _(s, p):
+    chars = hocr.chars(_reparsed(_nested_records(s, p)))
+    return chars.withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
+@register(
+    "s7_nested_langs",
+    """select doc_id, lang, n, n::double / sum(n) over (partition by doc_id) as share from (
+         select doc_id, coalesce(lang, par_lang) as lang, count(*) as n from gt group by all)""",
+)
+def _(s, p):
+    words = hocr.words(_reparsed(_nested_records(s, p))).withColumn("doc_id", F.col("doc_id").cast("long"))
+    return selection.lang_mix(words)
+
+
+@register(
+    "s3_nested_head",
+    """select doc_id, 'Serif' as font, doc_id % 7 + 0.5e0 as width, (doc_id % 9)::int as obs, c.col_no, c.rule, c.l, c.r
+       from docs left join cols c using (doc_id)""",
+)
+def _(s, p):
+    meta = hocr.read_meta(_reparsed(_nested_records(s, p))).withColumn("doc_id", F.col("doc_id").cast("long"))
+    fonts_of = meta.select("doc_id", F.explode("font_metrics").alias("font", "m")).select(
+        "doc_id", "font", F.col("m.normal.width")["65"].alias("width"), F.col("m.normal.obs").alias("obs")
+    )
+    columns = hocr.table_columns(meta).select("doc_id", "col_no", "rule", "l", "r")
+    return fonts_of.join(columns, "doc_id", "left")
+
+
 _RANGE = r"""select doc_id, least(lo, hi)::int as min_page, hi::int as max_page, case
     when least(lo, hi) > 1 or hi < page_count then ' Pages: ' || least(lo, hi) || '–' || hi
     else ' Pages: All' end as label from (
@@ -936,26 +1072,57 @@ def _(s, p):
 # -- streaming -------------------------------------------------------------------------------
 
 
+#: Every fifth document first arrives with wrong words, every seventh cut off; of those, the even ones are corrected.
+_FIRST = "case when doc_id % 7 = 0 then left(hocr, length(hocr) - 9) when doc_id % 5 = 0 then replace(hocr, 'e', 'E') else hocr end"
+
+
 @register(
     "r1_stream_hocr",
-    "select distinct doc_id, page_no, page_no as ppageno from gt",
+    """with shown as (
+         select doc_id, doc_id % 7 = 0 and doc_id % 2 = 1 as cut, doc_id % 5 = 0 and doc_id % 7 <> 0 and doc_id % 2 = 1 as wrong
+         from (select distinct doc_id from gt))
+       select 'pages' as sink, doc_id, page_no::int as page_no, null::int as line_no, null::int as word_no, null as value
+       from (select distinct doc_id, page_no from gt) g join shown s using (doc_id) where not s.cut
+       union all
+       select 'words', doc_id, page_no::int, (dense_rank() over (partition by doc_id, page_no order by line_no) - 1)::int,
+         (row_number() over (partition by doc_id, page_no, line_no order by word_no) - 1)::int,
+         case when s.wrong then replace(text, 'e', 'E') else text end
+       from gt join shown s using (doc_id) where not s.cut
+       union all
+       select 'errors', doc_id, null, null, null, 'no document' from shown where cut""",
 )
 def _(s, p):
     path = scratch_dir(s, "stream")
-    hocr.write_hocr(hocr.hocr_records(d.gt_words(s, p)), f"{path}/in")
-    ingest.stream_hocr(s, f"{path}/in", f"{path}/out", f"{path}/checkpoint", whole=False).awaitTermination()
-    pages = ingest.read_sink(s, f"{path}/out", "pages")
-    return pages.select(F.col("doc_id").cast("long").alias("doc_id"), "page_no", "ppageno")
+    records = hocr.hocr_records(d.gt_words(s, p)).withColumn("name", F.concat(F.col("doc_id").cast("string"), F.lit(".hocr")))
+    records = stored(records, "records")
+    first = records.select("name", "doc_id", E(_FIRST).alias("value"))
+    named.write_named(first, f"{path}/in/first", ["doc_id"])
+    again = records.filter("doc_id % 2 = 0 and (doc_id % 5 = 0 or doc_id % 7 = 0)")
+    named.write_named(again.select("name", "doc_id", F.col("hocr").alias("value")), f"{path}/in/second", ["doc_id"])
+    files = max(1, records.count() // 2)
+    ingest.stream_hocr(s, f"{path}/in/*", f"{path}/out", f"{path}/checkpoint", files_per_batch=files).awaitTermination()
+    read = lambda t: ingest.read_sink(s, f"{path}/out", t).withColumn("sink", F.lit(t))
+    pages, words = (read(t).withColumn("doc_id", F.col("doc_id").cast("long")) for t in ("pages", "words"))
+    errors = read("errors").withColumn("doc_id", F.regexp_extract("file", r"^(\d+)", 1).cast("long"))
+    found = stack(
+        pages.select("sink", "doc_id", "page_no"),
+        words.select("sink", "doc_id", "page_no", "line_no", "word_no", F.col("text").alias("value")),
+        errors.select("sink", "doc_id", F.col("reason").alias("value")), missing=True,
+    )
+    return found.select("sink", "doc_id", "page_no", "line_no", "word_no", "value")
 
 
 @register("r2_stream_edits", _EDITED)
 def _(s, p):
     path = scratch_dir(s, "edits")
     words = d.gt_words(s, p)
-    d.edits(words).write.parquet(f"{path}/in")
-    log = s.readStream.schema(edit_stream.EDIT_SCHEMA).option("maxFilesPerTrigger", 4).parquet(f"{path}/in")
-    edit_stream.stream_edits(log, f"{path}/state", f"{path}/checkpoint").awaitTermination()
-    out = edit_stream.edited_words(words.select(*EDIT_COLS, "word_id"), f"{path}/state")
+    log = d.edits(words)
+    # the edits of a word are spread over the batches out of order, and a third of them arrives again
+    arriving = stack(log, log.filter("seq % 3 = 0")).repartition(6, F.xxhash64("seq", F.rand(7) > 0.5))
+    arriving.write.parquet(f"{path}/in")
+    files = s.readStream.schema(edit_stream.EDIT_SCHEMA).option("maxFilesPerTrigger", 2).parquet(f"{path}/in")
+    edit_stream.stream_edits(files, f"{path}/checkpoint").awaitTermination()
+    out = edit_stream.edited_words(words.select(*EDIT_COLS, "word_id"), f"{path}/checkpoint")
     return out.select(*EDIT_COLS)
 
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def get_spark(app: str = "ocrspark", master: str | None = None, **conf: str) -> SparkSession:
@@ -51,19 +52,48 @@ def measured_broadcasts(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def scratch_dir(spark: SparkSession, label: str) -> str:
+#: Fallback folder of each local application without ``spark.checkpoint.dir``, and the open scopes.
+_LOCAL_ROOTS: dict[str, str] = {}
+_SCOPES: list[list[str]] = []
+
+
+def scratch_dir(spark: SparkSession, label: str, keep: bool = False) -> str:
     """A fresh folder name below ``spark.checkpoint.dir``.
 
-    On a cluster the setting must name shared storage; only a local session
-    may fall back to a folder of this machine.
+    On a cluster the setting must name shared storage; only a local session falls back to a
+    folder of this machine, one for each application. The innermost :func:`scratch_scope` removes
+    the folder unless ``keep`` is set.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        root = tempfile.mkdtemp(prefix="ocrspark-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
+        app = spark.sparkContext.applicationId
+        if app not in _LOCAL_ROOTS:
+            _LOCAL_ROOTS[app] = tempfile.mkdtemp(prefix="ocrspark-")
+        root = _LOCAL_ROOTS[app]
+    path = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
+    if _SCOPES and not keep:
+        _SCOPES[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession):
+    """Remove the scratch folders made inside, once the results that need them are written.
+
+    DataFrames made inside read those folders, so they must not be used after the scope.
+    """
+    made: list[str] = []
+    _SCOPES.append(made)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(made)
+        sc = spark.sparkContext
+        for path in made:
+            place = sc._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(sc._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
@@ -75,13 +105,32 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+def stored(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     """``df`` written to the shared folder and read back, for a small result that is used often."""
-    path = scratch_dir(df.sparkSession, label)
+    path = scratch_dir(df.sparkSession, label, keep)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes on disk up to which a written side of a join is sent to all tasks; in memory it may be ten times as large.
+SMALL_SIDE = 2 << 20
+
+
+def small_side(df: DataFrame, label: str, limit: int = SMALL_SIDE) -> DataFrame:
+    """``df`` written once, and marked for broadcast if what was written is small.
+
+    The size is that of the files, not an estimate. Beyond ``limit`` the join is left to Spark,
+    which then shuffles both sides; the rows are the same. Runs a job when it is called.
+    """
+    spark = df.sparkSession
+    path = scratch_dir(spark, label)
+    df.write.parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return F.broadcast(written) if files.getContentSummary(place).getLength() <= limit else written
+
+
 def stack(first: DataFrame, *rest: DataFrame, missing: bool = False) -> DataFrame:
     """Union by name, safe to aggregate afterwards (see :func:`tune`)."""
     tune(first.sparkSession)
