@@ -12,7 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from ocrspark.session import scratch_dir, tune
+from ocrspark.session import stored, tune  # noqa: F401  (operators take it from here)
 
 #: White space of the word contracts: blank, tab, line feed, vertical tab, form feed, return.
 BLANKS = b" \t\n\x0b\x0c\r"
@@ -46,13 +46,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return session(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: later jobs neither recompute nor lose it."""
-    path = scratch_dir(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def same(left: DataFrame, right: DataFrame, *names: str) -> Column:
     """Join condition in which null equals null."""
     cond = F.lit(True)
@@ -66,6 +59,22 @@ def text_prints(key: Column, text: Column) -> tuple[Column, Column]:
     return tuple(F.when(key.isNull(), h) for h in (F.xxhash64(text), F.xxhash64(F.lit(1), text)))
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns of our own that no column of ``df`` has, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
+def quoted(name: str) -> str:
+    """``name`` as a reference to the column of that name, dots and blanks included."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def widened(df: DataFrame, **columns: str) -> T.StructType:
     """The schema of ``df`` with more columns."""
     more = [T.StructField(name, T.DataType.fromDDL(kind)) for name, kind in columns.items()]

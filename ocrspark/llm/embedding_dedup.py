@@ -22,6 +22,10 @@ from ocrspark.llm.common import binary_rows, rows_of, session, stored
 from ocrspark.llm.components import connected_components
 
 
+#: Distance to the threshold within which the order of a sum may decide.
+ROUNDING = 1e-12
+
+
 def tables_for(threshold: float, bits: int, miss: float) -> int:
     """Tables needed so that a pair at the threshold is missed with at most probability ``miss``."""
     share = (1 - math.acos(min(1.0, threshold)) / math.pi) ** bits
@@ -60,6 +64,16 @@ def _sign(batches, bits: int, tables: int, seed: int):
             )
 
 
+def _reach(cosine: np.ndarray, threshold: float, rows) -> np.ndarray:
+    """Which cosines reach the threshold; those too near to it are summed up exactly, one way for all buckets."""
+    reached = cosine >= threshold
+    close = np.nonzero(np.abs(cosine - threshold) < ROUNDING)
+    if len(close[0]):
+        products = np.multiply(*rows(*close))
+        reached[close] = [math.fsum(p) >= threshold for p in products.tolist()]
+    return reached
+
+
 def _count(batches, threshold: float, tables: int):
     """Partial link counts and a root for each linked row of the units in a batch."""
     for t in groups.by_unit(batches):
@@ -76,8 +90,8 @@ def _count(batches, threshold: float, tables: int):
             first, second = [], []
             for i, j in groups.pairs(
                 unit[at], across[at], home[at],
-                lambda i, j: np.einsum("ij,ij->i", x[i], x[j]) >= threshold,
-                lambda a, b: x[a] @ x[b].T >= threshold,
+                lambda i, j: _reach(np.einsum("ij,ij->i", x[i], x[j]), threshold, lambda k: (x[i[k]], x[j[k]])),
+                lambda a, b: _reach(x[a] @ x[b].T, threshold, lambda r, c: (x[a[r]], x[b[c]])),
             ):
                 for k in range(0, len(i), 1 << 16):  # links count in the first table that holds both
                     p, q = i[k : k + (1 << 16)], j[k : k + (1 << 16)]

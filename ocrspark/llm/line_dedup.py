@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ocrspark.llm.common import BLANKS, binary_rows, session, slices, stored, widened
+from ocrspark.llm.common import BLANKS, binary_rows, quoted, session, slices, stored, unused, widened
 
 #: Bits a part of the filters covers; parts travel as sorted 16-bit offsets.
 PART_BITS = 1 << 15
@@ -125,7 +125,7 @@ def _cut(batches, at: int, fields):
     for whole in batches:
         for batch in slices(whole, whole.schema.names[at]):
             texts, n_lines, n_dropped = [], [], []
-            for text, drop in zip(batch.column(at).to_pylist(), batch.column("__drop").to_pylist()):
+            for text, drop in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
                 lines, drop = (text or "").split("\n"), set(drop or ())
                 texts.append("\n".join([x for k, x in enumerate(lines) if k not in drop]) if drop else text or "")
                 n_lines.append(len(lines))
@@ -171,10 +171,11 @@ def dedup_lines(
         raise ValueError("keep must be 'first' or 'none'")
     spark = session(df.sparkSession)
     df = df.drop("n_lines", "n_dropped")
-    df = df.withColumn(text_col, F.col(text_col).cast("string"))
-    ids, print_ = F.col(id_col).cast("long"), F.xxhash64(text_col)
+    text = F.col(quoted(text_col))
+    df = df.withColumn(text_col, text.cast("string"))
+    ids, print_ = F.col(quoted(id_col)).cast("long"), F.xxhash64(text)
     digests = stored(
-        df.select(ids.alias("id"), print_.alias("h"), F.col(text_col).alias("text"))
+        df.select(ids.alias("id"), print_.alias("h"), text.alias("text"))
         .mapInArrow(partial(_digests, min_chars=min_chars), "id long, h long, digests binary"), "line-digests",
     )
     n = digests.agg(F.sum(F.expr(f"octet_length(digests) div {DIGEST}"))).first()[0] or 0
@@ -195,14 +196,14 @@ def dedup_lines(
     if keep == "first":
         here = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("h") == F.col("first.h"))
         found = found.withColumn("numbers", F.when(here, F.expr("slice(numbers, 2, size(numbers))")).otherwise(F.col("numbers")))
+    # equal rows name the same lines, and the set keeps them once
+    own_id, own_h, their_id, their_h, drop = unused(df, "_id", "_h", "_their_id", "_their_h", "_drop")
     drops = stored(
-        found.select("id", "h", "numbers").groupBy("id", "h")
-        .agg(F.flatten(F.collect_list("numbers")).alias("__drop")), "drops",
-    )
-    left = df.withColumns({"__id": ids, "__h": print_})
+        found.select("id", "h", "numbers").groupBy("id", "h").agg(F.flatten(F.collect_set("numbers")).alias("numbers")), "drops",
+    ).toDF(their_id, their_h, drop)
+    left = df.withColumns({own_id: ids, own_h: print_})
     joined = left.join(
-        drops.withColumnsRenamed({"id": "__did", "h": "__dh"}),
-        F.col("__id").eqNullSafe(F.col("__did")) & (F.col("__h") == F.col("__dh")), "left",
-    ).select(*df.columns, "__drop")
+        drops, F.col(own_id).eqNullSafe(F.col(their_id)) & (F.col(own_h) == F.col(their_h)), "left"
+    ).select(*[quoted(c) for c in df.columns], drop)
     out = widened(df, n_lines="bigint", n_dropped="bigint")
     return joined.mapInArrow(partial(_cut, at=df.columns.index(text_col), fields=out.names), out)

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ocrspark.llm.common import session
+from ocrspark.llm.common import quoted, session, unused
 
 #: Blocks per old shard: with more of them the new sizes come closer to each other.
 BLOCKS = 1024
@@ -147,15 +147,15 @@ def reshard(
     """
     spark = session(df.sparkSession)
     df = df.drop("shard", "slot")
-    crc = F.coalesce(F.crc32(F.col(text_col).cast("binary")), F.lit(0))
-    keyed = df.withColumns({"__old": old_shard.cast("int"), "__crc": crc, "__size": size_of(F.col(text_col))}).withColumn(
-        "__block", F.pmod(F.xxhash64(F.col(id_col), "__crc", F.lit(3)), F.lit(blocks)).cast("int")
-    )
-    found = keyed.groupBy("__old", "__block").agg(F.sum("__size").alias("bytes"), F.count("*").alias("n")).collect()
-    chosen = plan([(r["__old"], r["__block"], r["bytes"]) for r in found], shards)
+    text, key = F.col(quoted(text_col)), F.col(quoted(id_col))
+    own, at, crc, size, part, base_col = unused(df, "_old", "_block", "_crc", "_size", "_part", "_base")
+    sums = {own: old_shard.cast("int"), crc: F.coalesce(F.crc32(text.cast("binary")), F.lit(0)), size: size_of(text)}
+    keyed = df.withColumns(sums).withColumn(at, F.pmod(F.xxhash64(key, crc, F.lit(3)), F.lit(blocks)).cast("int"))
+    found = keyed.groupBy(F.col(own).alias("old"), F.col(at).alias("block")).agg(F.sum(size).alias("bytes"), F.count("*").alias("n")).collect()
+    chosen = plan([(r.old, r.block, r.bytes) for r in found], shards)
     counts: dict[tuple[int, int], int] = defaultdict(int)
     for r in found:
-        counts[chosen.shard[r["__old"], r["__block"]], r["__block"] % PARTS] += r["n"]
+        counts[chosen.shard[r.old, r.block], r.block % PARTS] += r.n
     base, total = {}, defaultdict(int)
     for shard, part in sorted(counts):
         base[shard, part] = total[shard]
@@ -163,10 +163,11 @@ def reshard(
     rows = [
         (o, b, t, b % PARTS, base[t, b % PARTS]) for (o, b), t in chosen.shard.items()
     ]
-    placed = spark.createDataFrame(rows, "__old int, __block int, shard int, __part int, __base long")
+    placed = spark.createDataFrame(rows, "old int, block int, shard int, part int, base long").toDF(own, at, "shard", part, base_col)
     # a row per block: their number is a parameter times the old shards
-    met = keyed.join(F.broadcast(placed), ["__old", "__block"])
-    order = Window.partitionBy("shard", "__part").orderBy(F.col(id_col), "__crc")
-    numbered = met.withColumn("slot", F.col("__base") + F.row_number().over(order) - 1).select(*df.columns, "shard", "slot")
+    met = keyed.join(F.broadcast(placed), [own, at])
+    order = Window.partitionBy("shard", part).orderBy(key, crc)
+    slot = F.col(base_col) + F.row_number().over(order) - 1
+    numbered = met.withColumn("slot", slot).select(*[quoted(c) for c in df.columns], "shard", "slot")
     numbered.write.partitionBy("shard").parquet(path)
-    return spark.read.schema(numbered.schema).parquet(path).select(*numbered.columns)
+    return spark.read.schema(numbered.schema).parquet(path).select(*[quoted(c) for c in numbered.columns])

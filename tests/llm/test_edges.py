@@ -1,7 +1,9 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
 import hashlib
+import math
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -147,6 +149,55 @@ def test_shards(spark, docs):
     assert resharding.reshard(docs.limit(0), scratch_dir(spark, "t"), old, 4).count() == 0
 
 
+CLASHING = ("__id", "__h", "_h", "_drop", "__drop", "_old", "__size", "_size", "_Block", "_part", "_base", "_crc", "_score", "_t1", "a.b", "x y", "n`q")
+
+
+@pytest.mark.parametrize("operator", ["lines", "shards", "stages"])
+def test_columns_of_any_name_pass_through(spark, docs, operator, tmp_path):
+    """Columns with the names of our own, with dots and blanks come back as they were."""
+    named = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).withColumns({c: F.lit(77 + k) for k, c in enumerate(CLASHING)})
+    if operator == "lines":
+        out = line_dedup.dedup_lines(named, min_docs=2)
+    elif operator == "shards":
+        out = resharding.reshard(named.drop("a.b", "x y", "n`q"), scratch_dir(spark, "t"), F.lit(0), 3)
+    else:
+        spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+        plain = named.drop("a.b", "x y", "n`q")
+        out = corpus_pipeline.drop_copies(spark, corpus_pipeline.drop_toxic(spark, plain, str(tmp_path)), str(tmp_path))
+    kept = [c for c in named.columns if c in out.columns]
+    assert set(CLASHING) - set(kept) <= {"a.b", "x y", "n`q"} and (operator != "lines" or set(CLASHING) <= set(kept))
+    for row in out.select(*["`" + c.replace("`", "``") + "`" for c in kept if c in CLASHING]).collect():
+        assert all(row[c] == 77 + CLASHING.index(c) for c in kept if c in CLASHING)
+
+
+def test_many_equal_rows_name_their_lines_once(spark):
+    """Equal rows do not multiply the numbers of the lines they lose."""
+    text = "\n".join(f"line {k}" for k in range(40))
+    df = spark.createDataFrame([(1, text)] * 60 + [(None, text)] * 60 + [(2, "line 3\nown")], "doc_id long, text string")
+    out = line_dedup.dedup_lines(df, min_docs=2, keep="none").collect()
+    assert sorted({(r.doc_id, r.n_dropped, r.text) for r in out}, key=repr) == [(1, 40, ""), (2, 1, "own"), (None, 40, "")]
+
+
+def test_cosine_at_the_threshold_is_decided_one_way(spark):
+    """A pair at the threshold is linked or not, whatever the size of its bucket."""
+    rng = np.random.default_rng(8)
+    a = rng.standard_normal(64)
+    side = rng.standard_normal(64)
+    side -= a * (side @ a) / (a @ a)
+    a, side = a / np.linalg.norm(a), side / np.linalg.norm(side)
+    pair = [a, 0.95 * a + np.sqrt(1 - 0.95**2) * side]
+    unit = [v / np.abs(v).max() for v in pair]
+    unit = [v / np.linalg.norm(v) for v in unit]
+    limit = math.fsum((unit[0] * unit[1]).tolist())
+    few = [(k, v.tolist()) for k, v in enumerate(pair)]
+    many = few + [(k, pair[0].tolist()) for k in range(2, 200)]
+    for threshold, linked in ((limit, True), (np.nextafter(limit, 1), False)):
+        for rows in (few, many):
+            df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+            got = {r.vec_id: r.component_id for r in embedding_dedup.near_duplicates(df, threshold=float(threshold)).collect()}
+            assert (got[1] == 0) == linked
+
+
 @pytest.mark.parametrize("empty", [False, True])
 def test_stages(spark, docs, empty, tmp_path):
     labels = spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int")
