@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ocrspark.llm import bpe, decontaminate, line_dedup, minhash_dedup, toxicity
-from ocrspark.llm.common import BLANKS, in_fifths, stored, table, text_prints
+from ocrspark.llm.common import BLANKS, in_fifths, stored, table, text_prints, unused
+from ocrspark.session import scratch_scope
 
 #: A line is dropped when it occurs in this many documents, as in the query of the operator.
 LINE_DOCS = 10
@@ -14,15 +15,26 @@ VOCABULARY = "word_bpe_49k.json"
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents below the toxicity threshold of their language; training sees no held-out label."""
+    """Documents below the toxicity threshold of their language; training sees no held-out label.
+
+    Every row is judged by itself: null, empty and blank texts get the score of an empty one, texts of
+    any length are scored whole, repeated rows and null ids need no rule. A null or unknown language
+    has the threshold of all. Without labels nothing reaches it. Other columns pass through.
+    """
     labels = table(spark, sf_dir, "labels").where(~in_fifths(F.col("doc_id")))
     model = toxicity.train(docs, labels)
-    scored = toxicity.score(docs, model, score_col="__score")
-    return scored.where(~toxicity.rejected(model, "__score")).drop("__score")
+    (score,) = unused(docs, "_score")
+    scored = toxicity.score(docs, model, score_col=score)
+    return scored.where(~toxicity.rejected(model, score)).drop(score)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that many of them share; ``n_chars`` follows the text."""
+    """Documents without the lines that many of them share; ``n_chars`` follows the text.
+
+    A null text comes back empty; documents stay, also with no line left. Rows that share an id, null
+    ids too, count as one document. Texts are read whole. Columns named ``n_lines`` or ``n_dropped``
+    are dropped, others pass through; an empty table stays empty.
+    """
     kept = line_dedup.dedup_lines(docs, min_docs=LINE_DOCS, keep="none").drop("n_lines", "n_dropped")
     return kept.withColumn("n_chars", F.char_length("text").cast("long"))
 
@@ -44,8 +56,9 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # equal texts without an id go or stay together, so that one row of them is chosen here
     repeatable = F.col("doc_id").isNull() & F.coalesce(F.translate("text", BLANKS.decode(), "") != "", F.lit(False))
     once = left.where(repeatable)
-    t1, t2 = text_prints(F.col("doc_id"), F.col("text"))
-    once = once.withColumns({"__t1": t1, "__t2": t2}).dropDuplicates(["__t1", "__t2"]).drop("__t1", "__t2")
+    names = unused(docs, "_t1", "_t2")
+    prints = dict(zip(names, text_prints(F.col("doc_id"), F.col("text"))))
+    once = once.withColumns(prints).dropDuplicates(names).drop(*names)
     return left.where(~repeatable).unionAll(once)
 
 
@@ -55,7 +68,11 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document and their number."""
+    """Token ids of every document and their number.
+
+    A null or empty text has no tokens, a text of any length is encoded whole, and each of repeated
+    rows or null ids is encoded by itself. Other columns are left out; an empty table stays empty.
+    """
     path = public_tokenizers.path(VOCABULARY)
     coded = bpe.encode(docs, path).select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
     return coded
@@ -77,5 +94,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        # what a stage writes on its way goes with it, its result stays
+        with scratch_scope(spark):
+            docs = stored(stage(spark, docs, sf_dir), f"stage-{name}", keep=True)
     return docs
