@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ocrspark import pins
 from ocrspark.functions.geometry import round_half_up, union_box
 from ocrspark.functions.text import parse_int, trim_all
+from ocrspark.session import small_side
 from ocrspark.operators.positions import rank_in
 
 
@@ -51,9 +52,12 @@ def highlight_rect(words: DataFrame) -> DataFrame:
 
 
 def remove_margins(words: DataFrame, version: list[str] | None = None) -> DataFrame:
-    """Shift every page so that its content starts at 0,0."""
+    """Shift every page so that its content starts at 0,0.
+
+    The corners are written first, one row per page; while they are few the words are not shuffled.
+    """
     key = [*(version or []), *pins.PAGE_KEY]
-    corner = words.groupBy(*key).agg(F.min("l").alias("_l"), F.min("t").alias("_t"))
+    corner = small_side(words.groupBy(*key).agg(F.min("l").alias("_l"), F.min("t").alias("_t")), "corners")
     moved = {"l": "_l", "r": "_l", "t": "_t", "b": "_t"}
     return (
         words.join(corner, key)

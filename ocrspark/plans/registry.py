@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ocrspark import pins
 from ocrspark.functions import names, text as tx
 from ocrspark.operators import (
-    annotations, batch, edits, evaluate, flow, fonts, layout, search, selection, versions,
+    annotations, batch, edits, evaluate, flow, fonts, layout, search, search_index, selection, versions,
 )
 from ocrspark.plans import derived as d
 from ocrspark.plans.oracle import query
@@ -867,6 +867,17 @@ def _(s, p):
     return fonts.page_skew(_lines(s, p)).withColumn("degrees", F.round("degrees", 9))
 
 
+@register(
+    "f3_doc_skew",
+    "select doc_id, quantile_disc(slope, 0.5) as slope, count(*) as n from lines group by all",
+)
+def _(s, p):
+    # the page sketches are what is stored; documents are merged from them, here within the exact size
+    pages = fonts.skew_sketches(_lines(s, p), k=16384)
+    docs = fonts.merged_sketches(pages, ["doc_id"], k=16384)
+    return docs.select("doc_id", fonts.sketch_quantile(F.col("sketch")).alias("slope"), "n")
+
+
 @register("x1_reflow", "select doc_id, page_no, par_no, text from pars")
 def _(s, p):
     return flow.reflow(d.gt_words(s, p))
@@ -1003,6 +1014,28 @@ def _(s, p):
     return search.find_words(d.gt_words(s, p).select(*pins.WORD_KEY, "text"), "en")
 
 
+def _index(s, p) -> str:
+    path = scratch_dir(s, "index")
+    search_index.build_index(d.gt_words(s, p).select(*pins.WORD_KEY, "text"), path, parts=8, buckets=8)
+    return path
+
+
+@register("q2_index_words", f"select {ADDRESS}, text from gt where contains(lower(text), 'tion')")
+def _(s, p):
+    return search_index.find_words(s, _index(s, p), "Tion").select(*pins.WORD_KEY, "text")
+
+
+@register(
+    "q1_index_phrase",
+    """select doc_id, page_no, coalesce(n, 0)::bigint as n from (select distinct doc_id, page_no from gt) left join (
+         select a.doc_id, a.page_no, count(*) as n from gt a join gt c on a.doc_id = c.doc_id and a.page_no = c.page_no
+           and a.line_no = c.line_no and c.word_no = a.word_no + 1
+         where ends_with(lower(a.text), 'ion') and starts_with(lower(c.text), 'e') group by all) using (doc_id, page_no)""",
+)
+def _(s, p):
+    return search_index.find_text(s, _index(s, p), "ion e")
+
+
 @register(
     "q2_find_phrase_words",
     f"""select g.doc_id, g.page_no, g.line_no, g.word_no, g.text from gt g semi join (
@@ -1073,33 +1106,31 @@ def _(s, p):
 
 
 #: Every fifth document first arrives with wrong words, every seventh cut off; of those, the even ones are corrected.
-_FIRST = "case when doc_id % 7 = 0 then left(hocr, length(hocr) - 9) when doc_id % 5 = 0 then replace(hocr, 'e', 'E') else hocr end"
+_WRONG = "case when doc_id % 5 = 0 then replace(text, 'e', 'E') else text end"
+_CUT = "case when doc_id % 7 = 0 then left(hocr, length(hocr) - 9) else hocr end"
 
 
 @register(
     "r1_stream_hocr",
-    """with shown as (
-         select doc_id, doc_id % 7 = 0 and doc_id % 2 = 1 as cut, doc_id % 5 = 0 and doc_id % 7 <> 0 and doc_id % 2 = 1 as wrong
-         from (select distinct doc_id from gt))
-       select 'pages' as sink, doc_id, page_no::int as page_no, null::int as line_no, null::int as word_no, null as value
-       from (select distinct doc_id, page_no from gt) g join shown s using (doc_id) where not s.cut
+    """select 'pages' as sink, doc_id, page_no::int as page_no, null::int as line_no, null::int as word_no, null as value
+       from (select distinct doc_id, page_no from gt) where not (doc_id % 7 = 0 and doc_id % 2 = 1)
        union all
        select 'words', doc_id, page_no::int, (dense_rank() over (partition by doc_id, page_no order by line_no) - 1)::int,
          (row_number() over (partition by doc_id, page_no, line_no order by word_no) - 1)::int,
-         case when s.wrong then replace(text, 'e', 'E') else text end
-       from gt join shown s using (doc_id) where not s.cut
+         case when doc_id % 5 = 0 and doc_id % 2 = 1 then replace(text, 'e', 'E') else text end
+       from gt where not (doc_id % 7 = 0 and doc_id % 2 = 1)
        union all
-       select 'errors', doc_id, null, null, null, 'no document' from shown where cut""",
+       select distinct 'errors', doc_id, null::int, null::int, null::int, 'no document' from gt where doc_id % 7 = 0 and doc_id % 2 = 1""",
 )
 def _(s, p):
     path = scratch_dir(s, "stream")
-    records = hocr.hocr_records(d.gt_words(s, p)).withColumn("name", F.concat(F.col("doc_id").cast("string"), F.lit(".hocr")))
-    records = stored(records, "records")
-    first = records.select("name", "doc_id", E(_FIRST).alias("value"))
-    named.write_named(first, f"{path}/in/first", ["doc_id"])
-    again = records.filter("doc_id % 2 = 0 and (doc_id % 5 = 0 or doc_id % 7 = 0)")
-    named.write_named(again.select("name", "doc_id", F.col("hocr").alias("value")), f"{path}/in/second", ["doc_id"])
-    files = max(1, records.count() // 2)
+    words = d.gt_words(s, p)
+    name = F.concat(F.col("doc_id").cast("string"), F.lit(".hocr")).alias("name")
+    first = hocr.hocr_records(words.withColumn("text", E(_WRONG))).select(name, "doc_id", E(_CUT).alias("value"))
+    arrived = named.write_named(first, f"{path}/in/first", ["doc_id"])
+    again = hocr.hocr_records(words.filter("doc_id % 2 = 0 and (doc_id % 5 = 0 or doc_id % 7 = 0)"))
+    named.write_named(again.select(name, "doc_id", F.col("hocr").alias("value")), f"{path}/in/second", ["doc_id"])
+    files = max(1, arrived.count() // 2)
     ingest.stream_hocr(s, f"{path}/in/*", f"{path}/out", f"{path}/checkpoint", files_per_batch=files).awaitTermination()
     read = lambda t: ingest.read_sink(s, f"{path}/out", t).withColumn("sink", F.lit(t))
     pages, words = (read(t).withColumn("doc_id", F.col("doc_id").cast("long")) for t in ("pages", "words"))
