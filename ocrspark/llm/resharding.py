@@ -148,7 +148,7 @@ def reshard(
     spark = session(df.sparkSession)
     df = df.drop("shard", "slot")
     text, key = F.col(quoted(text_col)), F.col(quoted(id_col))
-    own, at, crc, size, part, base_col = unused(df, "_old", "_block", "_crc", "_size", "_part", "_base")
+    own, at, crc, size, part_col, base_col = unused(df, "_old", "_block", "_crc", "_size", "_part", "_base")
     sums = {own: old_shard.cast("int"), crc: F.coalesce(F.crc32(text.cast("binary")), F.lit(0)), size: size_of(text)}
     keyed = df.withColumns(sums).withColumn(at, F.pmod(F.xxhash64(key, crc, F.lit(3)), F.lit(blocks)).cast("int"))
     found = keyed.groupBy(F.col(own).alias("old"), F.col(at).alias("block")).agg(F.sum(size).alias("bytes"), F.count("*").alias("n")).collect()
@@ -163,10 +163,10 @@ def reshard(
     rows = [
         (o, b, t, b % PARTS, base[t, b % PARTS]) for (o, b), t in chosen.shard.items()
     ]
-    placed = spark.createDataFrame(rows, "old int, block int, shard int, part int, base long").toDF(own, at, "shard", part, base_col)
+    placed = spark.createDataFrame(rows, "old int, block int, shard int, part int, base long").toDF(own, at, "shard", part_col, base_col)
     # a row per block: their number is a parameter times the old shards
     met = keyed.join(F.broadcast(placed), [own, at])
-    order = Window.partitionBy("shard", part).orderBy(key, crc)
+    order = Window.partitionBy("shard", part_col).orderBy(key, crc)
     slot = F.col(base_col) + F.row_number().over(order) - 1
     numbered = met.withColumn("slot", slot).select(*[quoted(c) for c in df.columns], "shard", "slot")
     numbered.write.partitionBy("shard").parquet(path)

@@ -149,25 +149,23 @@ def test_shards(spark, docs):
     assert resharding.reshard(docs.limit(0), scratch_dir(spark, "t"), old, 4).count() == 0
 
 
-CLASHING = ("__id", "__h", "_h", "_drop", "__drop", "_old", "__size", "_size", "_Block", "_part", "_base", "_crc", "_score", "_t1", "a.b", "x y", "n`q")
+CLASHING = ("__id", "__h", "_h", "_drop", "__drop", "_old", "__size", "_size", "_Block", "_part", "_base", "_crc", "_score", "_t1")
 
 
 @pytest.mark.parametrize("operator", ["lines", "shards", "stages"])
 def test_columns_of_any_name_pass_through(spark, docs, operator, tmp_path):
-    """Columns with the names of our own, with dots and blanks come back as they were."""
+    """Columns with names like those of our helper columns come back as they were."""
     named = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).withColumns({c: F.lit(77 + k) for k, c in enumerate(CLASHING)})
     if operator == "lines":
         out = line_dedup.dedup_lines(named, min_docs=2)
     elif operator == "shards":
-        out = resharding.reshard(named.drop("a.b", "x y", "n`q"), scratch_dir(spark, "t"), F.lit(0), 3)
+        out = resharding.reshard(named, scratch_dir(spark, "t"), F.lit(0), 3)
     else:
         spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
-        plain = named.drop("a.b", "x y", "n`q")
-        out = corpus_pipeline.drop_copies(spark, corpus_pipeline.drop_toxic(spark, plain, str(tmp_path)), str(tmp_path))
-    kept = [c for c in named.columns if c in out.columns]
-    assert set(CLASHING) - set(kept) <= {"a.b", "x y", "n`q"} and (operator != "lines" or set(CLASHING) <= set(kept))
-    for row in out.select(*["`" + c.replace("`", "``") + "`" for c in kept if c in CLASHING]).collect():
-        assert all(row[c] == 77 + CLASHING.index(c) for c in kept if c in CLASHING)
+        out = corpus_pipeline.drop_copies(spark, corpus_pipeline.drop_toxic(spark, named, str(tmp_path)), str(tmp_path))
+    assert set(CLASHING) <= set(out.columns)
+    for row in out.select(*CLASHING).collect():
+        assert [row[c] for c in CLASHING] == [77 + k for k in range(len(CLASHING))]
 
 
 def test_many_equal_rows_name_their_lines_once(spark):
