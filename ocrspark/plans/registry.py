@@ -1014,7 +1014,7 @@ def _(s, p):
     return search.find_words(d.gt_words(s, p).select(*pins.WORD_KEY, "text"), "en")
 
 
-def _index(s, p) -> str:
+def _gram_index(s, p) -> str:
     path = scratch_dir(s, "index")
     search_index.build_index(d.gt_words(s, p).select(*pins.WORD_KEY, "text"), path, parts=8, buckets=8)
     return path
@@ -1022,7 +1022,7 @@ def _index(s, p) -> str:
 
 @register("q2_index_words", f"select {ADDRESS}, text from gt where contains(lower(text), 'tion')")
 def _(s, p):
-    return search_index.find_words(s, _index(s, p), "Tion").select(*pins.WORD_KEY, "text")
+    return search_index.find_words(s, _gram_index(s, p), "Tion").select(*pins.WORD_KEY, "text")
 
 
 @register(
@@ -1033,7 +1033,7 @@ def _(s, p):
          where ends_with(lower(a.text), 'ion') and starts_with(lower(c.text), 'e') group by all) using (doc_id, page_no)""",
 )
 def _(s, p):
-    return search_index.find_text(s, _index(s, p), "ion e")
+    return search_index.find_text(s, _gram_index(s, p), "ion e")
 
 
 @register(
