@@ -15,7 +15,6 @@ import hashlib
 import json
 import os
 import re
-import unicodedata
 from functools import lru_cache, partial
 from itertools import chain
 
@@ -24,12 +23,15 @@ import pyarrow as pa
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, functions as F
+from tokenizers import Regex, normalizers, pre_tokenizers
 
 from ocrspark.llm.common import session, slices, widened
 
 #: The pattern that cuts words, and white space between them.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 SPACE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+#: Composition and lower case as the library has them, whose Unicode version is not that of Python.
+NORMAL = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
 #: Characters that Python takes for white space and the vocabulary's rules do not.
 CONTROLS = re.compile("[\x1c-\x1f]")
 WORD_END = "</w>"
@@ -44,6 +46,37 @@ NEVER_RANK = 1 << 28
 NEVER = NEVER_RANK << PLACE
 
 
+def _class(inside: np.ndarray) -> str:
+    """Runs of code points as the inside of a character class."""
+    edges = np.flatnonzero(np.diff(np.r_[False, inside, False]))
+    return "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in edges.reshape(-1, 2).tolist())
+
+
+@lru_cache(maxsize=1)
+def library_words() -> tuple[re.Pattern, regex.Pattern]:
+    """Characters that the library classes unlike ``WORDS``, and the pattern of words for texts with them.
+
+    Which code points are letters or numbers depends on the Unicode version, and the library and the
+    module ``regex`` follow different ones. So the library is asked once in each process, with one
+    string of the planes 0 to 3, as no version has letters or numbers in others, and texts without such a
+    character keep to ``WORDS``.
+    """
+    points = np.r_[0:0xD800, 0xE000:0x40000]
+    text = "".join(map(chr, points.tolist()))
+    runs, odd = {}, np.zeros(0x40000, bool)
+    for kind in ("L", "N"):
+        split = pre_tokenizers.Split(Regex(rf"\p{{{kind}}}+"), "removed", invert=True)
+        theirs, ours = np.zeros((2, 0x40000), bool)
+        for _, (a, b) in split.pre_tokenize_str(text):
+            theirs[points[a:b]] = True
+        for m in regex.finditer(rf"\p{{{kind}}}+", text):
+            ours[points[m.start() : m.end()]] = True
+        runs[kind] = _class(theirs)
+        odd |= theirs != ours
+    exact = WORDS.pattern.replace(r"\p{L}", runs["L"]).replace(r"\p{N}", runs["N"])
+    return re.compile(f"[{_class(odd)}]" if odd.any() else "(?!)"), regex.compile(exact)
+
+
 def byte_letters() -> list[str]:
     """A printable character for every byte: printable Latin-1 stands for itself, others follow from 256."""
     own = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -206,9 +239,11 @@ class Tokenizer:
 
     def cut(self, chunk: str) -> list[str]:
         """Words of the pattern in a stretch without white space."""
-        # a final sigma has no form of its own where characters are lower-cased one by one
-        plain = chunk if chunk.isascii() else unicodedata.normalize("NFC", chunk).replace("Σ", "σ")
-        return WORDS.findall(plain.lower())
+        if chunk.isascii():
+            return WORDS.findall(chunk.lower())
+        odd, exact = library_words()
+        plain = NORMAL.normalize_str(chunk)
+        return (exact if odd.search(plain) else WORDS).findall(plain)
 
     def prepare(self, texts: list[str | None]) -> None:
         """Put the short words of the texts into the caches, all at once."""

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from ocrspark.llm import chat_format, decontaminate, minhash_dedup, queries, resharding
+from ocrspark.llm import bpe, chat_format, decontaminate, minhash_dedup, queries, resharding
 from ocrspark.llm.common import in_fifths, stored, table
 
 SMALL, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
@@ -237,6 +237,27 @@ def test_bpe(spark):
     assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got} == coded(texts)
 
 
+def test_bpe_classes_of_all_code_points():
+    """Every code point beside letters, marks and blanks is composed, lower-cased and cut as by the library."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, own = Tokenizer.from_file(path), bpe.tokenizer(path)
+    split = library.pre_tokenizer[0]
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for k in range(0, len(points), 128):
+        text = " ".join(f"a{chr(c)}a!{chr(c)}! \u0301{chr(c)}1" for c in points[k : k + 128])
+        words = [w for w, _ in split.pre_tokenize_str(library.normalizer.normalize_str(text))]
+        assert [w for part in own.stretches(text) for w in own.cut(part)] == words, hex(points[k])
+
+
+def test_bpe_on_random_strings():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, own, rng = Tokenizer.from_file(path), bpe.tokenizer(path), random.Random(5)
+    points = [*range(0x3100), *range(0x3100, 0xD800, 7), *range(0xE000, 0x110000, 61)]
+    for _ in range(3000):
+        text = "".join(chr(rng.choice(points)) for _ in range(12))
+        assert own.encode(text) == library.encode(text, add_special_tokens=False).ids
+
+
 def test_shards(spark):
     texts = {r.doc_id: (r.text or "").encode() for r in table(spark, SMALL, "documents").collect()}
     got = queries.QUERIES["op10_resharding"](spark, SMALL).collect()
