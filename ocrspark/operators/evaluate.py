@@ -31,14 +31,15 @@ def _side(words: DataFrame, p: str, keep: tuple[str, ...] = SIDE) -> DataFrame:
 
 
 def align(
-    gt: DataFrame, ocr: DataFrame, keep: tuple[str, ...] = SIDE, boxes: bool = False
+    gt: DataFrame, ocr: DataFrame, keep: tuple[str, ...] = SIDE, boxes: bool = False, page_levels: bool = False
 ) -> DataFrame:
     """One-to-one pairs of words on the same page: each is the best partner of the other.
 
     ``keep`` starts with the address of a word; fewer columns make smaller shuffles.
+    ``page_levels`` is for versions stored by page (``sources.version_store``), here and below.
     """
     gt_side = _side(gt, "g_", keep)
-    pairs = overlap_join(_side(ocr, "o_", keep), gt_side, "o_", "g_")
+    pairs = overlap_join(_side(ocr, "o_", keep), gt_side, "o_", "g_", page_levels=page_levels)
     best = [F.col("overlap").desc()]
     per_gt = W.partitionBy(*PAGE, "g_line_no", "g_word_no").orderBy(*best, "o_line_no", "o_word_no")
     per_ocr = W.partitionBy(*PAGE, "o_line_no", "o_word_no").orderBy(*best, "g_line_no", "g_word_no")
@@ -82,7 +83,7 @@ def _with_rest(pairs: DataFrame, matched: Column, sides: list[tuple[str, DataFra
 
 
 def word_status(
-    gt: DataFrame, ocr: DataFrame, ignore_punct: bool = True, ignore_cap: bool = True
+    gt: DataFrame, ocr: DataFrame, ignore_punct: bool = True, ignore_cap: bool = True, page_levels: bool = False
 ) -> DataFrame:
     """Each ground-truth word as correct, incorrect or missed, and each extra word."""
     none, no_conf = F.lit(None).cast("string"), F.lit(None).cast("int")
@@ -95,7 +96,7 @@ def word_status(
     same = F.when(_same(ignore_punct, ignore_cap), "correct").otherwise("incorrect")
     text, conf = F.col("text"), F.col("conf")
     return _with_rest(
-        align(gt, ocr, (*ADDRESS, "text", "conf")),
+        align(gt, ocr, (*ADDRESS, "text", "conf"), page_levels=page_levels),
         row("g_", F.col("g_text"), F.col("o_text"), F.col("o_conf"), same),
         [
             ("g_", gt, row("", text, none, no_conf, F.lit("missed"))),
@@ -124,6 +125,7 @@ def eval_versions(
     ignore_punct: bool = True,
     ignore_cap: bool = True,
     conf_high: int = pins.CONF_HIGH,
+    page_levels: bool = False,
 ) -> DataFrame:
     """Page statistics of two versions, without listing the single words.
 
@@ -133,7 +135,7 @@ def eval_versions(
     same = _same(ignore_punct, ignore_cap)
     high = F.col("o_conf") > conf_high
     zero = F.lit(0).cast("long")
-    hits = align(gt, ocr, (*ADDRESS, "text", "conf")).groupBy(*PAGE).agg(
+    hits = align(gt, ocr, (*ADDRESS, "text", "conf"), page_levels=page_levels).groupBy(*PAGE).agg(
         zero.alias("total"), zero.alias("found"),
         F.count_if(same).alias("correct"),
         F.count_if(~same).alias("incorrect"),
@@ -174,7 +176,7 @@ def wer(stats: DataFrame, ignore_extra: bool = False) -> DataFrame:
 WORD_COLS = (*ADDRESS, "word_id", "text", "conf", *pins.BOX)
 
 
-def combine(a: DataFrame, b: DataFrame, mode: str = "data") -> DataFrame:
+def combine(a: DataFrame, b: DataFrame, mode: str = "data", page_levels: bool = False) -> DataFrame:
     """Merge two versions; ``source`` tells where a word comes from.
 
     ``data``: the more confident word of each pair (``a`` on a tie) and all words
@@ -188,7 +190,7 @@ def combine(a: DataFrame, b: DataFrame, mode: str = "data") -> DataFrame:
     def lone(p: str, words: DataFrame, source: str) -> tuple[str, DataFrame, Column]:
         return p, words, row(F.lit(source), F.col)
 
-    pairs = align(a, b, boxes=True)
+    pairs = align(a, b, boxes=True, page_levels=page_levels)
     if mode == "conf":
         agree = F.col("g_text") == F.col("o_text")
         conf = F.when(agree, F.greatest("g_conf", "o_conf")).otherwise(F.least("g_conf", "o_conf"))
@@ -205,10 +207,10 @@ def combine(a: DataFrame, b: DataFrame, mode: str = "data") -> DataFrame:
 
 
 def conflicts(
-    a: DataFrame, b: DataFrame, ignore_punct: bool = True, ignore_cap: bool = True
+    a: DataFrame, b: DataFrame, ignore_punct: bool = True, ignore_cap: bool = True, page_levels: bool = False
 ) -> DataFrame:
     """Pairs of two versions whose texts differ."""
-    return align(a, b).filter(~_same(ignore_punct, ignore_cap)).select(
+    return align(a, b, page_levels=page_levels).filter(~_same(ignore_punct, ignore_cap)).select(
         *PAGE, F.col("g_line_no").alias("line_no"), F.col("g_word_no").alias("word_no"),
         F.col("g_text").alias("a_text"), F.col("o_text").alias("b_text"),
         F.col("g_conf").alias("a_conf"), F.col("o_conf").alias("b_conf"),

@@ -40,12 +40,16 @@ def overlap_join(
     b_box: str,
     on: tuple[str, ...] = pins.PAGE_KEY,
     anchor: str = "centre",
+    page_levels: bool = False,
 ) -> DataFrame:
     """Pairs of boxes on the same page, with the share of ``a`` that lies in ``b``.
 
     ``a_box`` and ``b_box`` are the column prefixes of the boxes. ``anchor='centre'``
     keeps pairs with overlap > 0.5; ``'left'`` keeps pairs where the middle of the left
     edge of ``a`` lies in ``b``. Other columns of both sides must have distinct names.
+
+    ``page_levels`` looks a box up on the levels of its own page only. That costs a join by
+    ``on``, which is for sides that are stored by it and need no shuffle there.
     """
     al, at, ar, ab = (F.col(f"{a_box}{s}").cast("long") for s in "ltrb")
     bl, bt, br, bb = (F.col(f"{b_box}{s}") for s in "ltrb")
@@ -54,14 +58,18 @@ def overlap_join(
     y2 = at + ab
 
     solid = b.filter((br > bl) & (bb > bt)).withColumn("lvl", _level(b_box))
-    levels = solid.agg(F.collect_set("lvl")).scalar()
     cells = solid.withColumn(
         "cx", F.explode(F.sequence(_cell(bl, X_BITS), _cell(br, X_BITS)))
     ).withColumn("cy", F.explode(F.sequence(_cell(bt, Y_BITS), _cell(bb, Y_BITS))))
 
     points = a.filter((ar > al) & (ab > at)) if anchor == "centre" else a
+    if page_levels:
+        points = points.join(solid.groupBy(*on).agg(F.collect_set("lvl").alias("lvls")), [*on])
+        points = points.withColumn("lvl", F.explode("lvls")).drop("lvls")
+    else:
+        points = points.withColumn("lvl", F.explode(solid.agg(F.collect_set("lvl")).scalar()))
     points = (
-        points.withColumn("lvl", F.explode(levels))
+        points
         .withColumn("cx", _cell(x2, X_BITS, 1))
         .withColumn("cy", _cell(y2, Y_BITS, 1))
     )
