@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from ocrspark.llm import bpe, chat_format, decontaminate, minhash_dedup, queries, resharding
+from ocrspark.llm import bpe, chat_format, decontaminate, embedding_dedup, minhash_dedup, queries, resharding
 from ocrspark.llm.common import in_fifths, stored, table
 
-SMALL, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
+SMALL, MIDDLE, LARGE = "/root/testdata/sf0.001", "/root/testdata/sf0.01", "/root/testdata/sf0.1"
 BLANKS = " \t\n\x0b\x0c\r"
 LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 
@@ -68,20 +68,42 @@ def check_groups(rows, texts):
     assert got == {i: (len(sets[i]), want[i], want[i] == i) for i in texts}
 
 
-def test_vectors(spark):
-    data = table(spark, SMALL, "embeddings").collect()
-    vectors = np.array([r.embedding for r in data], np.float64)
-    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+def linked_vectors(ids, vectors):
+    """What the vector contract asks for, from all cosines."""
+    vectors = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
     near = vectors @ vectors.T >= 0.95
     np.fill_diagonal(near, False)
-    ids = [r.vec_id for r in data]
     links = [(ids[a], ids[b]) for a, b in zip(*np.nonzero(np.triu(near)))]
     root = components(ids, links)
-    want = {i: (int(n), root[i], root[i] == i) for i, n in zip(ids, near.sum(axis=1))}
-    got = queries.QUERIES["op1_embedding_dedup"](spark, SMALL).collect()
+    return {i: (int(n), root[i], root[i] == i) for i, n in zip(ids, near.sum(axis=1))}
+
+
+@pytest.mark.parametrize("sf_dir", [SMALL, LARGE])
+def test_vectors(spark, sf_dir):
+    data = table(spark, sf_dir, "embeddings").collect()
+    want = linked_vectors([r.vec_id for r in data], np.array([r.embedding for r in data], np.float64))
+    got = queries.QUERIES["op1_embedding_dedup"](spark, sf_dir).collect()
     assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got} == want
 
 
+@pytest.mark.parametrize("bits", [None, 3, 20])
+def test_groups_of_vectors(spark, bits):
+    """A third of the rows equal, a third near each other in several groups, the rest alone."""
+    rng = np.random.default_rng(23)
+    hot = rng.standard_normal(24)
+    heads = rng.standard_normal((5, 24))
+    near = heads[rng.integers(0, 5, 300)] + 0.22 * rng.standard_normal((300, 24))
+    vectors = np.concatenate([np.tile(hot, (300, 1)), near, rng.standard_normal((300, 24)), hot + 0.1 * rng.standard_normal((40, 24))])
+    ids = rng.permutation(len(vectors)).tolist()
+    df = spark.createDataFrame(list(zip(ids, vectors.tolist())), "vec_id long, embedding array<double>").repartition(7)
+    got = embedding_dedup.near_duplicates(df, bits=bits, block=64).collect()
+    assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got} == linked_vectors(ids, vectors)
+
+
+def test_signs_of_a_table_grow():
+    assert [embedding_dedup.bits_for(n) for n in (0, 1, 4096, 51_282, 10**9, 10**15)] == [4, 4, 4, 8, 22, 31]
+
+
 def test_texts(spark):
     texts = {r.doc_id: r.text for r in table(spark, SMALL, "documents").collect()}
     check_groups(queries.QUERIES["op8_minhash_dedup"](spark, SMALL).collect(), texts)

@@ -189,6 +189,7 @@ def test_cosine_at_the_threshold_is_decided_one_way(spark):
     limit = math.fsum((unit[0] * unit[1]).tolist())
     few = [(k, v.tolist()) for k, v in enumerate(pair)]
     many = few + [(k, pair[0].tolist()) for k in range(2, 200)]
+    many += [(k, (pair[0] * 2.0 ** (k - 199)).tolist()) for k in range(200, 300)]  # one direction, different vectors
     for threshold, linked in ((limit, True), (np.nextafter(limit, 1), False)):
         for rows in (few, many):
             df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
