@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ocrspark import pins
 from ocrspark.functions.geometry import overlap
+from ocrspark.session import SMALL_SIDE, small_side
 
 # Cell of level 0 is 256 x 64 pixels, about one word; each level is eight times coarser.
 X_BITS, Y_BITS, LEVEL_BITS = 8, 6, 3
@@ -33,6 +34,21 @@ def _cell(coord: Column, bits: int, extra: int = 0) -> Column:
     return F.call_function("shiftright", coord.cast("long"), shift)
 
 
+def _cells(b: DataFrame, b_box: str) -> DataFrame:
+    """Boxes with an area, once per cell they touch on the grid of their own size."""
+    bl, bt, br, bb = (F.col(f"{b_box}{s}") for s in "ltrb")
+    solid = b.filter((br > bl) & (bb > bt)).withColumn("lvl", _level(b_box))
+    return solid.withColumn(
+        "cx", F.explode(F.sequence(_cell(bl, X_BITS), _cell(br, X_BITS)))
+    ).withColumn("cy", F.explode(F.sequence(_cell(bt, Y_BITS), _cell(bb, Y_BITS))))
+
+
+def _holds(b_box: str, x2: Column, y2: Column) -> Column:
+    """Whether box ``b`` holds the point given by twice its place."""
+    bl, bt, br, bb = (F.col(f"{b_box}{s}") * 2 for s in "ltrb")
+    return (x2 >= bl) & (x2 < br) & (y2 >= bt) & (y2 < bb)
+
+
 def overlap_join(
     a: DataFrame,
     b: DataFrame,
@@ -58,9 +74,7 @@ def overlap_join(
     y2 = at + ab
 
     solid = b.filter((br > bl) & (bb > bt)).withColumn("lvl", _level(b_box))
-    cells = solid.withColumn(
-        "cx", F.explode(F.sequence(_cell(bl, X_BITS), _cell(br, X_BITS)))
-    ).withColumn("cy", F.explode(F.sequence(_cell(bt, Y_BITS), _cell(bb, Y_BITS))))
+    cells = _cells(b, b_box)
 
     points = a.filter((ar > al) & (ab > at)) if anchor == "centre" else a
     if page_levels:
@@ -78,5 +92,30 @@ def overlap_join(
         return pairs.withColumn("overlap", overlap(a_box, b_box)).filter(
             F.col("overlap") > pins.OVERLAP
         )
-    inside = (x2 >= bl * 2) & (x2 < br * 2) & (y2 >= bt * 2) & (y2 < bb * 2)
-    return pairs.filter(inside)
+    return pairs.filter(_holds(b_box, x2, y2))
+
+
+def anchored_join(
+    a: DataFrame, b: DataFrame, a_box: str, b_box: str, by: str, on: tuple[str, ...] = pins.PAGE_KEY,
+    limit: int = SMALL_SIDE,
+) -> DataFrame:
+    """Pairs of boxes as :func:`overlap_join` finds them, with the anchor of each box of ``b`` in column ``by``.
+
+    Boxes of ``b`` with another value than ``centre`` or ``left`` are an error. ``a`` is read once for
+    all anchors and sizes. The cells of ``b`` are written first (so this runs a job); while they take at most
+    ``limit`` bytes ``a`` is not shuffled, beyond that Spark shuffles both sides, with equal rows.
+    """
+    unknown = F.raise_error(F.concat(F.lit("unknown anchor: "), F.coalesce(by, F.lit("null"))))
+    known = F.coalesce(F.col(by).isin("centre", "left"), F.lit(False))
+    cells = small_side(
+        _cells(b.withColumn(by, F.when(known, F.col(by)).otherwise(unknown)), b_box), "cells", limit
+    )
+    al, at, ar, ab = (F.col(f"{a_box}{s}").cast("long") for s in "ltrb")
+    centre = F.col(by) == "centre"
+    x2, y2 = F.when(centre, al + ar).otherwise(al * 2), at + ab
+    looked_up = cells.agg(F.collect_set(F.struct(by, "lvl"))).scalar()
+    points = a.select("*", F.inline(looked_up)).filter(~centre | ((ar > al) & (ab > at)))
+    points = points.withColumn("cx", _cell(x2, X_BITS, 1)).withColumn("cy", _cell(y2, Y_BITS, 1))
+    pairs = points.join(cells, [*on, by, "lvl", "cx", "cy"]).drop("lvl", "cx", "cy")
+    covered = overlap(a_box, b_box) > pins.OVERLAP
+    return pairs.filter(F.when(centre, covered).otherwise(_holds(b_box, x2, y2)))

@@ -56,6 +56,31 @@ def test_left_anchor_is_exact(spark):
     assert sorted((r.a_id, r.b_id) for r in got.collect()) == want
 
 
+@pytest.mark.parametrize("limit", [-1, 1 << 20])
+def test_anchor_of_each_box(spark, limit):
+    """Both ways of finding the pairs, broadcast and shuffled, for boxes of either anchor."""
+    rng = random.Random(11)
+    a, b = random_boxes(rng, 300, 8), random_boxes(rng, 200, 13)
+    right = boxes_df(spark, b, "b_").selectExpr("*", "if(b_id % 2 = 0, 'centre', 'left') as anchor")
+    got = spatial.anchored_join(boxes_df(spark, a, "a_"), right, "a_", "b_", "anchor", limit=limit)
+    want = sorted(
+        (x[2], y[2])
+        for x in a
+        for y in b
+        if x[:2] == y[:2]
+        and (
+            share(x[3:], y[3:]) > 0.5
+            if y[2] % 2 == 0
+            else y[3] <= x[3] < y[5] and y[4] < y[6] and 2 * y[4] <= x[4] + x[6] < 2 * y[6]
+        )
+    )
+    assert len(want) > 100
+    assert sorted((r.a_id, r.b_id) for r in got.collect()) == want
+    assert spatial.anchored_join(boxes_df(spark, a, "a_"), right.limit(0), "a_", "b_", "anchor", limit=limit).count() == 0
+    with pytest.raises(Exception, match="unknown anchor"):
+        spatial.anchored_join(right.select("doc_id", "page_no", "b_id"), right.selectExpr("* except (anchor)", "'top' as anchor"), "a_", "b_", "anchor")
+
+
 WORDS = "doc_id bigint, page_no int, line_no int, word_no int, word_id string, text string, conf int, l int, t int, r int, b int"
 
 
