@@ -31,6 +31,8 @@ ARCHIVE = "ocrspark-package.zip"
 def session(spark: SparkSession) -> SparkSession:
     """The session with bounded Arrow batches, and the package known to its Python workers."""
     tune(spark).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    # here keys that are part of others can be hot
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "true")
     sc = spark.sparkContext
     if not any(f.endswith(ARCHIVE) for f in sc.listFiles):
         package = Path(__file__).resolve().parent.parent

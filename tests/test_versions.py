@@ -155,3 +155,48 @@ def test_totals_of_a_stream(spark, rows, tmp_path):
     totals.stream_corrections(stream, str(tmp_path / "out"), str(tmp_path / "checkpoint")).awaitTermination()
     last = {(0, 0): (10, 5), (1, 0): (11, 6), (2, 0): (12, 7), (3, 0): (12, 7)}
     assert rows(totals.totals(spark, str(tmp_path / "out")), "doc_id", "level", *evaluate.STATS) == _rolled(spark, last)
+
+
+def _moved(df) -> int:
+    """Exchanges of the plan above those that deal the texts."""
+    return df._jdf.queryExecution().executedPlan().toString().count("ENSURE_REQUIREMENTS")
+
+
+@pytest.fixture
+def dealt(spark, tmp_path):
+    """Both versions cut out of texts that are dealt by document; page 5 of document 2 is missing in one."""
+    path = str(tmp_path / "tables")
+    texts = [(i, "\n".join(f"word{i} number {k} of the text" for k in range(9))) for i in range(6)]
+    rows = spark.createDataFrame([(i, t, "eng", "web", len(t)) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    rows.coalesce(1).write.parquet(f"{path}/documents.parquet")
+    return lambda pages=None: (d.gt_words(spark, path, pages), d.ocr_words(spark, path, pages))
+
+
+@pytest.mark.parametrize("name", ["status", "data", "conf", "conflicts"])
+def test_words_dealt_by_document_are_not_shuffled(spark, dealt, rows, name, monkeypatch):
+    operator, options = OPERATORS[name]
+    got = operator(*dealt(), **options)
+    assert _moved(got) <= 1  # the levels of the boxes, one row
+    plain = [spark.createDataFrame(w.collect(), w.schema) for w in dealt()]
+    assert rows(got) == rows(operator(*plain, **options), *got.columns)
+
+
+def test_equal_and_null_addresses_count_once(spark, rows):
+    cols = "doc_id long, page_no int, line_no int, word_no int, word_id string, text string, conf int, l int, t int, r int, b int"
+    word = lambda page, line, no, text, l: (1, page, line, no, text, text, 90, l, 0, l + 50, 16)
+    a = spark.createDataFrame([word(0, 0, 0, "a", 0), word(0, None, None, "n", 100), word(0, 0, 3, "x", 300), word(0, 0, 3, "y", 300), word(None, 0, 0, "p", 0)], cols)
+    b = spark.createDataFrame([word(0, 0, 0, "a", 0), word(0, None, None, "n", 100), word(None, 0, 0, "q", 0)], cols)
+    found = rows(evaluate.word_status(a, b), "page_no", "line_no", "gt_text", "ocr_text", "status")
+    assert found == sorted([
+        (0, 0, "a", "a", "correct"), (0, None, "n", "n", "correct"), (0, 0, "y", None, "missed"),
+        (None, 0, "p", None, "missed"), (None, 0, None, "q", "extra"),
+    ], key=repr)
+
+
+def test_dealt_words_are_stored_without_a_shuffle(spark, dealt, rows, tmp_path):
+    truth = dealt(0)[0]
+    store = vs.create(truth, str(tmp_path / "store"), buckets=3)
+    vs.store_version(store, truth, "truth", dealt=dealt(3)[0])
+    assert rows(store.words("truth"), *truth.columns) == rows(truth)
+    files = spark.table(store.table).select("_metadata.file_name").distinct().collect()
+    assert len({f.file_name for f in files}) <= 3
