@@ -429,3 +429,27 @@ def test_scope_removes_its_folders(spark):
         spark.range(2).write.parquet(kept)
         assert os.path.exists(inner.removeprefix("//"))
     assert not os.path.exists(inner.removeprefix("//")) and spark.read.parquet(kept).count() == 2
+
+
+def test_records_of_dealt_words_are_built_in_place(spark, rows):
+    from ocrspark import pins
+    from ocrspark.plans import derived as d
+    from conftest import SF_DIR
+
+    parts = d.parts(spark, SF_DIR)
+    words = d.gt_words(spark, SF_DIR).filter("doc_id % 20 = 0")
+    chars = d.with_chars(words).select(*pins.WORD_KEY, F.posexplode("chars").alias("char_no", "c")).select(*pins.WORD_KEY, "char_no", "c.*")
+    # characters, lines and pages without a word, an area, and metadata of a document without words
+    own = spark.createDataFrame([(0, 0, 90001, 0, 0, "z", 1, 2, 3, 4)], "doc_id long, page_no int, line_no int, word_no int, char_no int, ch string, l int, t int, r int, b int")
+    chars = chars.unionByName(own)
+    lines = d.lines(words).unionByName(d.lines(words).filter("doc_id = 20").withColumn("line_no", F.col("line_no") + 70000))
+    pages = d.pages(d.docs(spark, SF_DIR)).filter("doc_id % 10 = 0")
+    blocks = spark.createDataFrame([(0, 0, 0, "a1", "carea", 0, 0, 9, 9)], "doc_id long, page_no int, block_no int, block_id string, kind string, l int, t int, r int, b int")
+    head = spark.createDataFrame([(0, "x", "1"), (-5, "y", "2")], "doc_id long, name string, content string")
+    tables = dict(lines=lines, pages=pages, chars=chars, blocks=blocks, head=head)
+    want = rows(hocr.hocr_records(words, **tables))
+    assert rows(hocr.hocr_records(words, **tables, parts=parts)) == want and len(want) > 5
+    plain = hocr.hocr_records(words, parts=parts)
+    assert rows(plain) == rows(hocr.hocr_records(words))
+    # one exchange deals the documents
+    assert plain._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
