@@ -453,3 +453,16 @@ def test_records_of_dealt_words_are_built_in_place(spark, rows):
     assert rows(plain) == rows(hocr.hocr_records(words))
     # one exchange deals the documents
     assert plain._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_pieces_of_one_document_are_built_in_place(spark, rows):
+    """Words dealt by something finer than the document, whose pages they number through."""
+    words = spark.createDataFrame(
+        [(k % 3, k % 3 * 10 + k % 2, 0, k, f"i{k}", f"w{k}", 90, k * 10, 0, k * 10 + 9, 9) for k in range(12)],
+        "doc_id long, page_no int, line_no int, word_no int, word_id string, text string, conf int, l int, t int, r int, b int",
+    )
+    docs = spark.createDataFrame([("all",)], "doc_id string")
+    got = hocr.hocr_pieces(docs, words.repartition(4, "doc_id"), parts=4)
+    assert got._jdf.queryExecution().executedPlan().toString().count("ENSURE_REQUIREMENTS") == 0
+    want = hocr.hocr_pieces(docs, words.withColumn("doc_id", F.lit("all")))
+    assert got.count() == 8 and rows(got, "piece", "value") == rows(want, "piece", "value")
