@@ -127,7 +127,12 @@ def lang_mix(words: DataFrame, by: list[str] | None = None) -> DataFrame:
     return counts.withColumn("share", F.col("n").cast("double") / total)
 
 
-def reading_order(words: DataFrame) -> DataFrame:
-    """Words sorted for reading, with their 1-based position in the document."""
+def reading_order(words: DataFrame, parts: int | None = None) -> DataFrame:
+    """Words sorted for reading, with their 1-based position in the document.
+
+    ``parts`` is the number of ranges they are sorted in, by default that of shuffles. If it grows with the words,
+    a range is sorted in memory.
+    """
     ranked = rank_in(words, ["doc_id"], ["page_no", "line_no"], ["word_no"], "position")
-    return ranked.repartitionByRange(*pins.WORD_KEY).sortWithinPartitions(*pins.WORD_KEY)
+    ranges = [parts] if parts else []
+    return ranked.repartitionByRange(*ranges, *pins.WORD_KEY).sortWithinPartitions(*pins.WORD_KEY)

@@ -1103,7 +1103,7 @@ def _(s, p):
     f"select {ADDRESS}, text, row_number() over (partition by doc_id order by page_no, line_no, word_no) as position from gt",
 )
 def _(s, p):
-    return selection.reading_order(d.gt_words(s, p).select(*pins.WORD_KEY, "text"))
+    return selection.reading_order(d.gt_words(s, p).select(*pins.WORD_KEY, "text"), d.parts(s, p))
 
 
 # -- set operations --------------------------------------------------------------------------

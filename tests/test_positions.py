@@ -2,7 +2,9 @@
 
 import random
 
-from ocrspark.operators import annotations, positions, search
+from pyspark.sql import functions as F
+
+from ocrspark.operators import annotations, flow, positions, search, selection
 
 PAGES = [0, 1, 5, 4095, 4096, 4097, 9000, 20000, 20001, 70000]
 
@@ -80,3 +82,26 @@ def test_counter_position(spark):
         (1, 0, None): (0, 3), (1, 2, None): (1, 3), (1, 2, "b"): (2, 3), (1, 2, ""): (1, 3), (1, 2, "zz"): (0, 3),
         (1, 7, "c"): (3, 3), (2, 0, None): (0, 0),
     }
+
+
+def test_width_is_split_where_the_words_are(spark):
+    rng = random.Random(4)
+    data = [(d, p, l, w, rng.choice(("a", "word", "longer"))) for d in range(3) for p in range(2) for l in range(5000, 5004) for w in range(4)]
+    df = spark.createDataFrame(data, "doc_id long, page_no int, line_no int, word_no int, text string").withColumn("par_no", F.col("page_no"))
+    got = flow.split_width(df.repartition(4, "doc_id"), 20)
+    assert got._jdf.queryExecution().executedPlan().toString().count("ENSURE_REQUIREMENTS") == 0
+    want = {}
+    for d, p in {x[:2] for x in data}:
+        at = 0
+        for *_, text in sorted(x for x in data if x[:2] == (d, p)):
+            want.setdefault((d, p, at // 20), []).append(text)
+            at += len(text) + 1
+    assert {(r.doc_id, r.page_no, r.n): r.text for r in got.collect()} == {k: " ".join(v) for k, v in want.items()}
+
+
+def test_reading_order_in_as_many_ranges_as_asked_for(spark):
+    df = spark.createDataFrame([(d, p, 0, w, "x") for d in range(5) for p in range(4) for w in range(9)], "doc_id long, page_no int, line_no int, word_no int, text string")
+    got = selection.reading_order(df, 11)
+    parts = [r.n for r in got.groupBy(F.spark_partition_id().alias("n")).count().collect()]
+    assert 9 <= len(parts) <= 11 and max(parts) >= 8
+    assert [(r.doc_id, r.position) for r in got.collect()] == [(d, k + 1) for d in range(5) for k in range(36)]
