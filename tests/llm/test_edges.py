@@ -96,6 +96,35 @@ def test_classifiers(spark, docs):
         assert operator.score(docs.limit(0), model).count() == 0
 
 
+def test_toxicity_learns_from_every_unit(spark, monkeypatch):
+    """Words that mark a class occur in a few rows each, in different units; a mark may be beyond the longest step."""
+    monkeypatch.setattr(toxicity, "CHUNK", 64)
+    monkeypatch.setattr(toxicity, "BATCH_WORDS", 100)
+    marks = [f"{'bad' if k % 2 else 'good'}{chr(97 + k // 2)}" for k in range(40)]
+    filler = " ".join(f"f{k % 7}" for k in range(300))
+    texts = [(k, f"{filler if k % 50 == 0 else 'some'} text {marks[k % 40]}", k % 2) for k in range(800)]
+    df = spark.createDataFrame([(k, t, "en") for k, t, _ in texts], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, y) for k, _, y in texts], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "MEETINGS", 8)
+    model = toxicity.train(df, labels, rows=150)
+    got = {r.doc_id: r.score for r in toxicity.score(df, model).collect()}
+    wrong = [k for k, _, y in texts if (got[k] >= 0.5) != y]
+    assert len(wrong) <= 16 and "en" in model.thresholds
+    again = toxicity.train(df, labels, rows=150)
+    assert (again.embedding == model.embedding).all() and again.thresholds == model.thresholds
+
+
+def test_units_hold_every_row_once():
+    import pyarrow as pa
+
+    sizes = [3, 1, 50, 2, 2, 2, 2, 9, 0, 1]
+    parts = [0, 0, 0, 0, 0, 0, 1, 1, 2, 2]
+    table = pa.table({"id": list(range(10)), "words": [[1] * n for n in sizes], "part": parts})
+    got = [(key, u["id"].to_pylist()) for key, u in toxicity._units(table.to_batches(max_chunksize=4), 3, 10)]
+    assert [ids for _, ids in got] == [[0, 1], [2], [3, 4, 5], [6], [7], [8, 9]]
+    assert [key for key, _ in got] == [0, 1, 2, 1 << 32, (1 << 32) + 1, 2 << 32]
+
+
 def test_chat(spark):
     data = [
         (1, 0, "System: be brief", "system"), (1, 1, "User: hello?\nAssistant: hi\nthere", "user"), (1, 1, None, None),
