@@ -466,3 +466,16 @@ def test_pieces_of_one_document_are_built_in_place(spark, rows):
     assert got._jdf.queryExecution().executedPlan().toString().count("ENSURE_REQUIREMENTS") == 0
     want = hocr.hocr_pieces(docs, words.withColumn("doc_id", F.lit("all")))
     assert got.count() == 8 and rows(got, "piece", "value") == rows(want, "piece", "value")
+
+
+def test_kerning_makes_characters_once(spark):
+    """No filter or explode repeats the expressions that make the characters; null and short words have no pairs."""
+    rows = [("Serif", 10, 0, "abc"), ("Serif", 10, 0, "a"), ("Serif", 10, 0, None), (None, 10, 0, "abc"), ("Serif", 0, 0, "abc"), ("Serif", 10, None, "xy")]
+    words = spark.createDataFrame(rows, "font string, x_height int, l int, text string").selectExpr(
+        "font", "'normal' as style", "x_height",
+        "transform(split(text, ''), (c, i) -> named_struct('ch', c, 'l', l + i * 10, 'r', l + i * 10 + 5 + i)) as chars")
+    pairs = fonts.kerning(words)
+    found = {(r.first, r.second, r.gap, r.obs) for r in pairs.collect()}
+    assert found == {("a", "b", 0.5, 1), ("b", "c", 0.4, 1), ("x", "y", None, 1)}
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
