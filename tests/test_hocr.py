@@ -213,6 +213,22 @@ def test_csv_and_project(spark, tmp_path, rows):
         assert rows(tables.load_project(spark, path, {"words": data.schema})["words"]) == rows(data)
 
 
+def test_csv_keeps_line_breaks(spark, tmp_path, rows):
+    data = spark.createDataFrame(
+        [(1, "a\rb", "x"), (2, "c\nd", None), (3, "\r", "\r"), (4, None, None), (5, 'e"\r\n"', ",")], "id bigint, text string, font string"
+    )
+    tables.write_words_csv(data, str(tmp_path / "csv"))
+    assert rows(tables.read_words_csv(spark, str(tmp_path / "csv"), data.schema)) == rows(data)
+
+
+def test_csv_files_are_bounded(spark, tmp_path, rows, monkeypatch):
+    monkeypatch.setattr(tables, "CSV_WORDS", 10)
+    data = spark.range(35).selectExpr("id", "concat('w', id) as text").coalesce(1)
+    tables.write_words_csv(data, str(tmp_path / "csv"))
+    assert len(list((tmp_path / "csv").glob("part-*"))) == 4
+    assert rows(tables.read_words_csv(spark, str(tmp_path / "csv"), data.schema)) == rows(data)
+
+
 PROJECT = "line_no int, doc_id bigint, text string, page_no int, word_no int, `a.b` double, more array<string>"
 
 
