@@ -524,3 +524,49 @@ def test_kerning_makes_characters_once(spark):
     assert found == {("a", "b", 0.5, 1), ("b", "c", 0.4, 1), ("x", "y", None, 1)}
     plan = pairs._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("split(") == 1
+
+
+STRAY = FLAT.replace("<head>", "<head><!-- a note --><link rel='x'/>").replace(
+    "<span class='ocr_line' title=\"bbox 50", "stray <b>bold <i>text</i></b><span class='ocr_line' title=\"bbox 50"
+).replace("style='font-weight:bold;font-style:italic'>two", "style='font-weight:bold;font-style:italic'>\n <!-- x --><![CDATA[t<w]]>o <em>!</em>")
+READERS = {
+    "pages": [hocr.pages, hocr.blocks], "lines": [hocr.lines], "attributes": [lambda docs: hocr.words(docs).drop("text")], "words": [hocr.words],
+    "chars": [hocr.chars, hocr.words_with_chars],
+}
+
+
+def test_a_level_gives_the_rows_of_a_whole_read(spark, tmp_path):
+    broken = NESTED.replace("</p>", "", 1)
+    late = FLAT.replace("</body></html>", "</div></body></html>")
+    unspaced = "".join(x.strip() for x in NESTED.split("\n"))
+    folder = write(tmp_path, a=NESTED, b=FLAT, c=STRAY, d=broken, e=late, f=unspaced, g="none", h=NESTED + FLAT)
+    whole = hocr.read_hocr(spark, folder)
+    state = ("file", "doc_pos", "doc_id", "title", F.col("html").isNull(), F.col("html._corrupt_record"))
+    asked = lambda docs: sorted(map(repr, docs.select(*state).collect()))
+    rows = lambda df: sorted(map(repr, df.collect()))
+    for k, level in enumerate(hocr.LEVELS):
+        docs = hocr.read_hocr(spark, folder, level=level)
+        assert asked(docs) == asked(whole)
+        assert rows(hocr.read_meta(docs)) == rows(hocr.read_meta(whole))
+        for known in hocr.LEVELS[: k + 1]:
+            for read in READERS.get(known, []):
+                want = rows(read(whole))
+                assert want and rows(read(docs)) == want
+    assert "text" not in hocr.words(hocr.read_hocr(spark, folder, level="attributes")).columns
+    with pytest.raises(ValueError):
+        hocr.html_schema("page")
+
+
+def test_what_is_left_out_is_not_parsed():
+    assert "_title:string,span:array<struct<_VALUE" not in hocr.html_schema("lines") and "body" not in hocr.html_schema("head")
+    assert "span:array<struct<_VALUE:string>>" in hocr.html_schema("words") and "_VALUE" not in hocr.html_schema("attributes")
+
+
+def test_a_record_of_one_document_and_others(spark):
+    one, two = "<html><body/></html>", "<html lang='x'><body/></html>"
+    values = [one, two, one + two, one + "\n", "x" + one, "<htmlx>" + one, "<html></html", "</html>" + one, "<html></html><p></html>", "", None]
+    raw = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "file int, value string")
+    got = hocr.parse_hocr(raw, level="head").groupBy("file").agg(F.count("html").alias("n"), F.count("*").alias("rows"))
+    assert [tuple(r) for r in got.orderBy("file").collect()] == [
+        (0, 1, 1), (1, 1, 1), (2, 2, 2), (3, 1, 1), (4, 1, 1), (5, 1, 1), (6, 0, 1), (7, 1, 1), (8, 1, 1), (9, 0, 1), (10, 0, 1)
+    ]
