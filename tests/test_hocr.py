@@ -570,3 +570,26 @@ def test_a_record_of_one_document_and_others(spark):
     assert [tuple(r) for r in got.orderBy("file").collect()] == [
         (0, 1, 1), (1, 1, 1), (2, 2, 2), (3, 1, 1), (4, 1, 1), (5, 1, 1), (6, 0, 1), (7, 1, 1), (8, 1, 1), (9, 0, 1), (10, 0, 1)
     ]
+
+
+@pytest.mark.parametrize("fmt, levels", [("txt", {"head", "words"}), ("hocr", {"head", "pages", "lines", "words", "chars"})])
+def test_convert_reads_what_each_table_needs(spark, tmp_path, fmt, levels):
+    raw = spark.createDataFrame(
+        [("a/one.hocr", NESTED), ("b/two.hocr", FLAT + NESTED), ("c/bad.hocr", FLAT.replace("</div>", "")), ("d/none.hocr", "x")], "file string, value string"
+    )
+    asked = set()
+
+    def read(level):
+        asked.add(level)
+        return batch.parse_batch(raw, level)
+
+    rows = [sorted(map(repr, batch.convert(d, str(tmp_path / n), fmt).collect())) for n, d in (("whole", batch.parse_batch(raw)), ("levels", read))]
+    assert rows[0] == rows[1] and asked == levels
+    files = [{f.name: f.read_text() for f in (tmp_path / n).iterdir() if f.suffix == f".{fmt}"} for n in ("whole", "levels")]
+    assert files[0] == files[1] and len(files[0]) == 2
+
+
+def test_many_small_files_share_tasks(spark, tmp_path):
+    for k in range(2000):
+        (tmp_path / f"{k}.hocr").write_text("x")
+    assert hocr.raw_files(spark, str(tmp_path)).rdd.getNumPartitions() <= 16
