@@ -572,6 +572,19 @@ def test_a_record_of_one_document_and_others(spark):
     ]
 
 
+def test_files_written_where_their_pieces_are(spark, tmp_path):
+    import gzip
+
+    texts = {f"{k}.txt.gz": [f"{k}-{j} é" for j in range(4)] for k in range(9)}
+    pieces = spark.createDataFrame([(n, j, t) for n, ts in texts.items() for j, t in enumerate(ts)], "name string, j int, value string")
+    files = named.write_named(pieces.repartition(3, "name"), str(tmp_path / "out"), ["j"], sep="\n", dealt=True)
+    assert {r.name: r.bytes for r in files.collect()} == {n: len("\n".join(t).encode()) for n, t in texts.items()}
+    for n, t in texts.items():
+        assert gzip.decompress((tmp_path / "out" / n).read_bytes()).decode() == "\n".join(t)
+    again = spark.read.text(str(tmp_path / "out"), wholetext=True)
+    assert sorted(r.value for r in again.collect()) == sorted("\n".join(t) for t in texts.values())
+
+
 @pytest.mark.parametrize("fmt, levels", [("txt", {"head", "words"}), ("hocr", {"head", "pages", "lines", "words", "chars"})])
 def test_convert_reads_what_each_table_needs(spark, tmp_path, fmt, levels):
     raw = spark.createDataFrame(
@@ -593,3 +606,16 @@ def test_many_small_files_share_tasks(spark, tmp_path):
     for k in range(2000):
         (tmp_path / f"{k}.hocr").write_text("x")
     assert hocr.raw_files(spark, str(tmp_path)).rdd.getNumPartitions() <= 16
+
+
+def test_ingest_keeps_nothing_parsed(spark, tmp_path, monkeypatch):
+    from pyspark.sql import DataFrame
+
+    from ocrspark.streaming import ingest
+
+    monkeypatch.setattr(DataFrame, "persist", lambda *a, **b: pytest.fail("persisted"))
+    (tmp_path / "in").mkdir()
+    folder = write(tmp_path / "in", a=FLAT, b="none")
+    ingest.stream_hocr(spark, folder, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    counts = {t: ingest.read_sink(spark, str(tmp_path / "out"), t).count() for t in ingest.TABLES}
+    assert counts == {"pages": 2, "words": 3, "errors": 1}
