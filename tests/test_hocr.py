@@ -619,3 +619,14 @@ def test_ingest_keeps_nothing_parsed(spark, tmp_path, monkeypatch):
     ingest.stream_hocr(spark, folder, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     counts = {t: ingest.read_sink(spark, str(tmp_path / "out"), t).count() for t in ingest.TABLES}
     assert counts == {"pages": 2, "words": 3, "errors": 1}
+
+
+def test_csv_is_packed(spark, tmp_path, rows):
+    data = spark.range(5000).selectExpr("id", "concat('word ', id % 9) as text").coalesce(1)
+    sizes = {}
+    for compress in (True, False):
+        path = tmp_path / f"csv{compress}"
+        tables.write_words_csv(data, str(path), **({} if compress else {"compress": False}))
+        sizes[compress] = sum(f.stat().st_size for f in path.glob("part-*"))
+        assert rows(tables.read_words_csv(spark, str(path), data.schema)) == rows(data)
+    assert sizes[True] * 2 < sizes[False]
